@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The folder that holds the package.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below the folder that the cluster names in spark.checkpoint.dir.
@@ -38,7 +42,13 @@ def pick(docs: DataFrame, **cols: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what a Python worker holds at a time: so many rows of whole texts."""
+    """Bounds what a Python worker holds at a time: so many rows of whole texts.
+
+    Also lets workers on this machine import the library wherever they start; a cluster ships it (--py-files).
+    """
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

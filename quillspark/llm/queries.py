@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, simple8b
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(ids, path))
 
 
-QUERIES = {"op10_bpe": op10_bpe}
+def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = simple8b.write_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
+    return simple8b.read_ids(spark, path)
+
+
+QUERIES = {"op4_simple8b": op4_simple8b, "op10_bpe": op10_bpe}
 
 ORACLES: dict[str, str] = {}
