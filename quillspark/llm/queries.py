@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simple8b
+from . import bpe, minhash, simple8b
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,24 @@ def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_ids(spark, path)
 
 
-QUERIES = {"op4_simple8b": op4_simple8b, "op10_bpe": op10_bpe}
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(_table(spark, sf_dir, "documents"), percent=85, width=5)
 
-ORACLES: dict[str, str] = {}
+
+QUERIES = {"op4_simple8b": op4_simple8b, "op8_minhash": op8_minhash, "op10_bpe": op10_bpe}
+
+ORACLES: dict[str, str] = {
+    "op8_minhash": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS x FROM documents),
+s AS (SELECT doc_id, CASE WHEN coalesce(len(x), 0) = 0 THEN [] WHEN len(x) < 5 THEN [array_to_string(x, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(x) - 3), lambda i: array_to_string(x[i:i + 4], ' '))) END AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+e AS (SELECT doc_id, unnest(sh) AS sh FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+m AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT n.doc_id, n.n AS n_shingles, m.component_id, n.doc_id = m.component_id AS kept FROM n JOIN m USING (doc_id)
+""",
+}
