@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, minhash, simple8b
+from . import bpe, compression, minhash, ranking, simple8b
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +28,22 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(_table(spark, sf_dir, "documents"), percent=85, width=5)
 
 
-QUERIES = {"op4_simple8b": op4_simple8b, "op8_minhash": op8_minhash, "op10_bpe": op10_bpe}
+def _remainder(n: int):
+    """crc32 of doc_id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.rules(_table(spark, sf_dir, "documents"))
+
+
+def op6_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = ranking.train(docs, _table(spark, sf_dir, "labels").where(_remainder(3) != 1), "quality")
+    return ranking.score(docs, model).select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {"op1_compression_bands": op1_compression_bands, "op4_simple8b": op4_simple8b, "op6_bradley_terry": op6_bradley_terry, "op8_minhash": op8_minhash, "op10_bpe": op10_bpe}
 
 ORACLES: dict[str, str] = {
     "op8_minhash": r"""
