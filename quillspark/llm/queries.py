@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression, crf, minhash, ranking, simple8b
+from . import bpe, compression, crf, minhash, ranking, simple8b, styletree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.rules(_table(spark, sf_dir, "documents"))
 
 
+def op5_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return styletree.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = ranking.train(docs, _table(spark, sf_dir, "labels").where(_remainder(3) != 1), "quality")
@@ -49,7 +53,7 @@ def op9_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.score(docs, model).select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_compression_bands": op1_compression_bands, "op4_simple8b": op4_simple8b, "op6_bradley_terry": op6_bradley_terry, "op8_minhash": op8_minhash, "op9_crf": op9_crf, "op10_bpe": op10_bpe}
+QUERIES = {"op1_compression_bands": op1_compression_bands, "op4_simple8b": op4_simple8b, "op5_style_tree": op5_style_tree, "op6_bradley_terry": op6_bradley_terry, "op8_minhash": op8_minhash, "op9_crf": op9_crf, "op10_bpe": op10_bpe}
 
 ORACLES: dict[str, str] = {
     "op8_minhash": r"""
