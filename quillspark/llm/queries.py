@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression, crf, minhash, ranking, simple8b, styletree
+from . import bpe, compression, crf, cws, minhash, ranking, simple8b, styletree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,13 +47,17 @@ def op6_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.score(docs, model).select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.compare(_table(spark, sf_dir, "documents"))
+
+
 def op9_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = crf.train(docs, _table(spark, sf_dir, "labels").where(_remainder(5) != 0), "toxic")
     return crf.score(docs, model).select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_compression_bands": op1_compression_bands, "op4_simple8b": op4_simple8b, "op5_style_tree": op5_style_tree, "op6_bradley_terry": op6_bradley_terry, "op8_minhash": op8_minhash, "op9_crf": op9_crf, "op10_bpe": op10_bpe}
+QUERIES = {"op1_compression_bands": op1_compression_bands, "op4_simple8b": op4_simple8b, "op5_style_tree": op5_style_tree, "op6_bradley_terry": op6_bradley_terry, "op7_weighted_sampling": op7_weighted_sampling, "op8_minhash": op8_minhash, "op9_crf": op9_crf, "op10_bpe": op10_bpe}
 
 ORACLES: dict[str, str] = {
     "op8_minhash": r"""
