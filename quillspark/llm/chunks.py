@@ -16,6 +16,9 @@ import regex
 WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
 
+#: Signs that end a word without belonging to its piece; no apostrophe, which contractions begin with.
+SIGNS = ".,!?;:#*$%&|)]}\""
+
 
 def pattern(p: str) -> regex.Pattern:
     """The pre-tokenizer's pattern with white space as Unicode's White_Space property has it."""
@@ -39,18 +42,42 @@ class ChunkCache:
         self.opens, self.closes = np.zeros(0, bool), np.zeros(0, bool)
 
     def _learn(self, spaced: list[str], bare: list[str]) -> None:
-        ids = self.encode([" " + x for x in spaced] + bare)
-        n = len(self.size)
-        self.spaced.update(zip(spaced, range(n, n + len(spaced)), strict=True))
-        self.bare.update(zip(bare, range(n + len(spaced), n + len(ids)), strict=True))
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
+        # letters and then signs are two pieces, each of which may be known already
+        whole, made, ends = [], [], {}
+        for x in spaced:
+            w = x.rstrip(SIGNS)
+            if len(w) < len(x) and w.isalpha():
+                made.append((x, w, x[len(w) :]))
+                if w not in self.spaced:
+                    ends[w] = None
+            else:
+                whole.append(x)
+        if made:
+            tails = [t for t in dict.fromkeys(t for _, _, t in made) if t not in self.bare]
+            own, own_bare = set(whole), set(bare)
+            self._add(whole + [w for w in ends if w not in own], bare + [t for t in tails if t not in own_bare])
+            a, b = (np.fromiter((known[m[k]] for m in made), np.int64, len(made)) for known, k in ((self.spaced, 1), (self.bare, 2)))
+            start, size = np.stack([self.start[a], self.start[b]], 1).ravel(), np.stack([self.size[a], self.size[b]], 1)
+            self._keep([m[0] for m in made], [], size.sum(1), gather(self.flat, start, size.ravel()))
+        else:
+            self._add(whole, bare)
+
+    def _add(self, spaced: list[str], bare: list[str]) -> None:
+        if spaced or bare:
+            ids = self.encode([" " + x for x in spaced] + bare)
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._keep(spaced, bare, size, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())))
+
+    def _keep(self, spaced: list[str], bare: list[str], size: np.ndarray, flat: np.ndarray) -> None:
+        n, m = len(self.size), len(self.size) + len(spaced)
+        self.spaced.update(zip(spaced, range(n, m), strict=True))
+        self.bare.update(zip(bare, range(m, n + len(size)), strict=True))
         both = spaced + bare
         self.opens = np.concatenate([self.opens, np.fromiter((not x or x[0] in WHITE for x in both), bool, len(both))])
         self.closes = np.concatenate([self.closes, np.fromiter((not x or x[-1] in WHITE for x in both), bool, len(both))])
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.seen = np.concatenate([self.seen, np.zeros(len(ids), np.int64)])
+        self.seen = np.concatenate([self.seen, np.zeros(len(size), np.int64)])
         self.flat = np.concatenate([self.flat, flat])
 
     def _forget(self) -> None:

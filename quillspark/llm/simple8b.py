@@ -48,12 +48,15 @@ def pack(ids: np.ndarray, block_start: np.ndarray, block_size: np.ndarray) -> tu
     inside = np.arange(BLOCK) < block_size[:, None]
     val = np.zeros((n, BLOCK + 240), np.uint64)
     val[:, :BLOCK][inside] = ids[at[inside]]
-    v = val[:, :BLOCK]
+    # bits of each id; one more than the last width's is nothing's
+    need = np.frexp(val[:, :BLOCK].astype(np.float64))[1].astype(np.int8)
     best = np.full((n, BLOCK), 15, np.int8)
-    pos = np.arange(BLOCK)
+    pos = np.arange(BLOCK, dtype=np.int16)
     for s in range(14, -1, -1):
         # the next position whose id has more bits; none left in the block: anything fits
-        over = np.where(v >> np.uint64(BITS[s]) != 0, pos, 1 << 20)
+        over = np.where(need > BITS[s], pos, np.int16(2 * BLOCK))
+        if s < 12 and (over < 2 * BLOCK).all():
+            break  # no id is this small, nor smaller
         reach = np.minimum.accumulate(over[:, ::-1], axis=1)[:, ::-1]
         best[reach - pos >= COUNT[s]] = s
     best, stride = best.ravel(), BLOCK + 240
@@ -163,7 +166,7 @@ def _cache(path: str, pat: str) -> ChunkCache:
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return ChunkCache(lambda chunks: [e.ids for e in t.encode_batch(chunks, add_special_tokens=False)], pat)
+    return ChunkCache(lambda chunks: [e.ids for e in t.encode_batch_fast(chunks, add_special_tokens=False)], pat)
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, pat: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> str:
