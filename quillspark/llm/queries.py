@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression, crf, cws, minhash, ranking, simple8b, styletree
+from . import bpe, compression, crf, cws, disclosure, minhash, pfair, ranking, simple8b, styletree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(ids, path))
 
 
+def op2_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.digest(disclosure.find(_table(spark, sf_dir, "documents")))
+
+
+def op3_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pfair.places(docs, pfair.slots_of(pfair.tempered(pfair.sizes(docs)), 1000))
+
+
 def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = simple8b.write_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
     return simple8b.read_ids(spark, path)
@@ -57,7 +66,7 @@ def op9_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.score(docs, model).select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_compression_bands": op1_compression_bands, "op4_simple8b": op4_simple8b, "op5_style_tree": op5_style_tree, "op6_bradley_terry": op6_bradley_terry, "op7_weighted_sampling": op7_weighted_sampling, "op8_minhash": op8_minhash, "op9_crf": op9_crf, "op10_bpe": op10_bpe}
+QUERIES = {"op1_compression_bands": op1_compression_bands, "op2_disclosure": op2_disclosure, "op3_pfair": op3_pfair, "op4_simple8b": op4_simple8b, "op5_style_tree": op5_style_tree, "op6_bradley_terry": op6_bradley_terry, "op7_weighted_sampling": op7_weighted_sampling, "op8_minhash": op8_minhash, "op9_crf": op9_crf, "op10_bpe": op10_bpe}
 
 ORACLES: dict[str, str] = {
     "op8_minhash": r"""
