@@ -11,6 +11,8 @@ agree: with M = 24, R = 4 a pair at similarity 0.85 is missed with probability 6
 3. Over all tables, only buckets that still hold several components are looked at: first against some hubs, then all
    pairs of nodes in different components. Pairs inside a component would change nothing. So no link that could join
    two components is lost, and a group of copies or near copies is never expanded into all its pairs.
+A pair is made only if sizes and odd sketches allow the similarity: a sketch has a bit for each of ODD buckets of hashes,
+whether an odd number fall there, so two differ in at most as many bits as the sets in members. This loses no link.
 
 Defined cases: null or empty text, or no words: n_shingles 0, linked with nothing, component_id is its doc_id and it is
 kept. Repeated rows: each gets a result; equal doc_ids share the verdict. Null doc_id: never a component's id unless it
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import pick, saved, small_batches
 from .graph import components
 
-M, R, HUBS = 24, 4, 2
+M, R, HUBS, ODD = 24, 4, 2, 512
 _rng = np.random.default_rng(20240611)
 _WORD = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _PERM = _rng.integers(0, 1 << 63, (M * R), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,12 +87,23 @@ def signature(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def odd_sketch(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of ODD // 64 longs a set: for each of ODD buckets, whether an odd number of its hashes fall there.
+
+    Two sketches differ in at most as many bits as their sets' symmetric difference has members.
+    """
+    own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = own * ODD + (np.concatenate(sets) & np.uint64(ODD - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(sets) * ODD) & 1).astype(np.uint8).reshape(len(sets), ODD)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def _node(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
 def nodes(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (set size), node (null without shingles), halves (M collection hashes)."""
+    """doc_id, n (set size), node (null without shingles), halves (M collection hashes), odd (sketch)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,13 +112,15 @@ def nodes(docs: DataFrame, width: int) -> DataFrame:
             full = [k for k, s in enumerate(sets) if len(s)]
             at = np.zeros(len(sets) + 1, np.int32)
             at[1:] = np.cumsum([M if len(s) else 0 for s in sets])
-            sig = signature([sets[k] for k in full]).ravel() if full else np.zeros(0, np.uint64)
+            some = [sets[k] for k in full]
+            sig = signature(some).ravel() if full else np.zeros(0, np.uint64)
+            odd = odd_sketch(some).ravel() if full else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(sig.view(np.int64)))],
-                ["doc_id", "n", "node", "halves"],
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(sig.view(np.int64))), pa.ListArray.from_arrays(pa.array(at // M * (ODD // 64)), pa.array(odd))],
+                ["doc_id", "n", "node", "halves", "odd"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node binary, halves array<long>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node binary, halves array<long>, odd array<long>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -130,8 +145,12 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _near(percent: int):
-    """Sizes that similar sets can have."""
-    return F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
+    """False only for sets that cannot be similar enough, by their sizes and sketches.
+
+    100 * c >= percent * u is (100 - percent) * (n + m) >= (100 + percent) * (members of just one of the sets).
+    """
+    differ = sum((F.bit_count(F.get("odd", k).bitwiseXOR(F.get("hub_odd", k))) for k in range(ODD // 64)), F.lit(0))
+    return (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent) & ((F.col("n") + F.col("hub_n")) * (100 - percent) >= differ * (100 + percent))
 
 
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -146,21 +165,22 @@ def classes(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str = "d
     """doc_id, n_shingles, component_id, kept of each row; links are sets with a similarity of percent / 100 or more."""
     d = pick(docs, doc_id=id_col, text=text_col)
     every = saved(nodes(d, width), "nodes")
-    reps = saved(every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("halves").alias("halves")), "reps")
+    reps = saved(every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("halves").alias("halves"), F.first("odd").alias("odd")), "reps")
     half = reps.select("node", "n", F.explode("halves").alias("u"))
     often = saved(half.groupBy("u").agg(F.count("*").alias("k")).where("k > 1").select("u"), "shared")
     # at most M values a node
-    shared = saved(half.join(often, "u", "left_semi").groupBy("node", "n").agg(F.array_sort(F.collect_set("u")).alias("us")).where(F.size("us") > 1), "tables")
+    shared = half.join(often, "u", "left_semi").groupBy("node", "n").agg(F.array_sort(F.collect_set("u")).alias("us")).where(F.size("us") > 1)
+    shared = saved(shared.join(reps.select("node", "odd"), "node"), "tables")
 
     def keyed(t: DataFrame) -> DataFrame:
         """All tables of t's nodes: node, n, key."""
-        first = t.select(*[c for c in t.columns if c != "us"], "us", F.posexplode("us").alias("i", "u"))
+        first = t.select("*", F.posexplode("us").alias("i", "u"))
         rest = first.select(*[c for c in t.columns if c != "us"], "u", F.explode(F.slice("us", F.col("i") + 2, M)).alias("v"))
         return rest.select(*[c for c in t.columns if c != "us"], F.xxhash64("u", "v").alias("key"))
 
     # the ring: neighbouring shared collections by hash, as many tables as collections
-    ring = shared.select("node", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("us")), lambda i: F.xxhash64(F.element_at("us", i), F.element_at("us", F.when(i == F.size("us"), 1).otherwise(i + 1))))).alias("key"))
-    hubs = saved(ring.groupBy("key").agg(F.min(F.struct("node", "n")).alias("h"), F.count("*").alias("k")).where("k > 1").select("key", F.col("h.node").alias("a"), F.col("h.n").alias("hub_n")), "hubs")
+    ring = shared.select("node", "n", "odd", F.explode(F.transform(F.sequence(F.lit(1), F.size("us")), lambda i: F.xxhash64(F.element_at("us", i), F.element_at("us", F.when(i == F.size("us"), 1).otherwise(i + 1))))).alias("key"))
+    hubs = saved(ring.groupBy("key").agg(F.min(F.struct("node", "n", "odd")).alias("h"), F.count("*").alias("k")).where("k > 1").select("key", F.col("h.node").alias("a"), F.col("h.n").alias("hub_n"), F.col("h.odd").alias("hub_odd")), "hubs")
     pairs = saved(ring.join(hubs, "key").where(F.col("a") != F.col("node")).where(_near(percent)).select("a", F.col("node").alias("b")).distinct(), "pairs")
     wanted = reps.join(shared.select("node"), "node", "left_semi").select(F.col("doc_id").alias("want"))
     texts = d.join(wanted.distinct(), F.col("doc_id").eqNullSafe(F.col("want")), "left_semi")
@@ -176,10 +196,10 @@ def classes(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str = "d
             break
         rows = saved(keyed(here).join(mixed, "key", "left_semi"), "rows")
         if turn < HUBS:
-            hubs = saved(rows.groupBy("key").agg(F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(turn))).alias("h")).select("key", F.col("h.node").alias("a"), F.col("h.n").alias("hub_n"), F.col("h.comp").alias("hub_comp")), "hubs")
+            hubs = saved(rows.groupBy("key").agg(F.min_by(F.struct("node", "n", "odd", "comp"), F.xxhash64("node", F.lit(turn))).alias("h")).select("key", F.col("h.node").alias("a"), F.col("h.n").alias("hub_n"), F.col("h.odd").alias("hub_odd"), F.col("h.comp").alias("hub_comp")), "hubs")
             found = rows.join(hubs, "key").where(F.col("comp") != F.col("hub_comp"))
         else:
-            other = rows.select("key", F.col("node").alias("a"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
+            other = rows.select("key", F.col("node").alias("a"), F.col("n").alias("hub_n"), F.col("odd").alias("hub_odd"), F.col("comp").alias("hub_comp"))
             found = rows.join(other, "key").where((F.col("comp") != F.col("hub_comp")) & (F.col("node") < F.col("a")))
         new = found.where(_near(percent)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         new = saved(new.join(tested, ["a", "b"], "left_anti"), "pairs")
