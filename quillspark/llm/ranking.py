@@ -116,3 +116,18 @@ def score(docs: DataFrame, model: BradleyTerry, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def keep(docs: DataFrame, model: BradleyTerry, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with a score of 0.5 or more; all of them if nothing could be learned."""
+    small_batches(docs.sparkSession)
+    if not model.weight.any():
+        return docs
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [features(t) for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array(model.score(np.array(x)) >= 0.5)) if x else b
+
+    return docs.mapInArrow(run, docs.schema)
