@@ -54,3 +54,10 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 def text_or_empty(col) -> F.Column:
     return F.coalesce(col, F.lit(""))
+
+
+def never_null(df: DataFrame, name: str) -> F.Column:
+    """The column as a key that joins by plain equality: null is below all values (the smallest long, or an odd string)."""
+    if df.schema[name].dataType.simpleString() == "string":
+        return F.coalesce(F.col(name), F.lit("\x00null"))
+    return F.coalesce(F.col(name).cast("long"), F.lit(-(2**63)))

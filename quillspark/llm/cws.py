@@ -22,9 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, saved, text_or_empty
+from .common import never_null, pick, saved, text_or_empty
 
-SAMPLES = 16
+SAMPLES = 32
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -77,35 +77,35 @@ def spelled(fp: Column) -> Column:
 
 
 def neighbours(d: DataFrame) -> DataFrame:
-    """doc_id, h, n, and next_id, next_h, prev_n: the next document by (doc_id, h), the last one's is the first; the previous one's n."""
+    """g (doc_id, never null), h, n, and the keys of the next and the previous document by (g, h), in a circle; the previous one's n."""
     spark = d.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = d.select("doc_id", "h", "n").distinct().repartitionByRange(parts, "doc_id", "h")
+    ids = d.select("g", "h", "n").distinct().repartitionByRange(parts, "g", "h")
     ids = saved(ids.withColumn("part", F.spark_partition_id()), "ids")
-    at = F.struct("doc_id", "h", "n")
+    at = F.struct("g", "h", "n")
     # one row a partition
     ends = ids.groupBy("part").agg(F.min(at).alias("first"), F.max(at).alias("last"))
     line = Window.orderBy("part")
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = ends.select("part", F.coalesce(F.lead("first").over(line), F.first("first").over(whole)).alias("after"), F.coalesce(F.lag("last").over(line), F.last("last").over(whole)).alias("before"))
-    w = Window.partitionBy("part").orderBy("doc_id", "h")
+    w = Window.partitionBy("part").orderBy("g", "h")
     near = ids.withColumn("x", F.lead(at).over(w)).withColumn("y", F.lag(at).over(w)).join(F.broadcast(ends), "part")
     nxt, prv = F.coalesce("x", "after"), F.coalesce("y", "before")
-    return near.select("doc_id", "h", "n", nxt["doc_id"].alias("next_id"), nxt["h"].alias("next_h"), prv["doc_id"].alias("prev_id"), prv["h"].alias("prev_h"), prv["n"].alias("prev_n"))
+    return near.select("g", "h", "n", nxt["g"].alias("next_g"), nxt["h"].alias("next_h"), prv["g"].alias("prev_g"), prv["h"].alias("prev_h"), prv["n"].alias("prev_n"))
 
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h, n, next_id, next_h, text, edited of each distinct (doc_id, text)."""
+    """doc_id, g, h, n, next_g, next_h, text, edited of each distinct (doc_id, text)."""
     d = pick(docs, doc_id=id_col, text=text_col).select("doc_id", text_or_empty(F.col("text")).alias("text"))
-    d = d.withColumn("h", F.xxhash64("text")).withColumn("n", F.length("text").cast("long"))
+    d = d.withColumn("g", never_null(d, "doc_id")).withColumn("h", F.xxhash64("text")).withColumn("n", F.length("text").cast("long"))
     near = saved(neighbours(d), "neighbours")
-    here = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("a.h") == F.col("b.h")]
-    one = d.select("doc_id", "h", "text").groupBy("doc_id", "h").agg(F.first("text").alias("text"))
-    t = one.alias("a").join(near.alias("b"), here).select("a.doc_id", "a.h", "b.n", "text", "next_id", "next_h", "prev_id", "prev_h", "prev_n")
-    sent = t.select(F.col("prev_id").alias("doc_id"), F.col("prev_h").alias("h"), F.substring(F.col("text"), F.lit(1), F.floor(F.col("prev_n") / 2).cast("int")).alias("tail"))
-    both = t.alias("a").join(sent.alias("b"), here)
+    # one partitioning of the texts serves the grouping and both joins
+    one = d.select("doc_id", "g", "h", "text").groupBy("g", "h").agg(F.first("text").alias("text"), F.first("doc_id").alias("doc_id"))
+    t = one.join(near, ["g", "h"])
+    sent = t.select(F.col("prev_g").alias("g"), F.col("prev_h").alias("h"), F.substring(F.col("text"), F.lit(1), F.floor(F.col("prev_n") / 2).cast("int")).alias("tail"))
+    both = t.join(sent, ["g", "h"])
     keep = F.substring(F.col("text"), F.lit(1), (F.col("n") - F.floor(F.col("n") / 2)).cast("int"))
-    return both.select("a.doc_id", "a.h", "n", "next_id", "next_h", "text", F.concat(keep, F.col("tail")).alias("edited"))
+    return both.select("doc_id", "g", "h", "n", "next_g", "next_h", "text", F.concat(keep, F.col("tail")).alias("edited"))
 
 
 def compare(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,12 +115,12 @@ def compare(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", tex
     e = e.withColumn("sha", F.sha2("edited", 256))
     for k in range(4):
         e = e.withColumn(f"s{k}", F.conv(F.substring("sha", 1 + 16 * k, 16), 16, -10).cast("long"))
-    fixed = ["doc_id", "h", "n", "next_id", "next_h", "s0", "s1", "s2", "s3"]
+    fixed = ["doc_id", "g", "h", "n", "next_g", "next_h", "s0", "s1", "s2", "s3"]
     both = e.select(*fixed, F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")))).alias("x"))
     fp = saved(fingerprints(both.select(*fixed, F.col("x.v").alias("v"), F.col("x.t").alias("t")), "t", [*fixed, "v"], samples), "fingerprints")
     own = fp.where("v = 0").alias("a")
-    other = fp.where("v = 1").select("doc_id", "h", F.col("fp").alias("efp")).alias("b")
-    nxt = fp.where("v = 0").select("doc_id", "h", F.col("fp").alias("nfp")).alias("c")
-    j = own.join(other, [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("a.h") == F.col("b.h")]).join(nxt, [F.col("a.next_id").eqNullSafe(F.col("c.doc_id")), F.col("a.next_h") == F.col("c.h")])
-    sha = F.concat(*[F.lpad(F.lower(F.hex(F.col(f"a.s{k}"))), 16, "0") for k in range(4)])
-    return j.select(F.col("a.doc_id").alias("doc_id"), F.col("a.n").alias("n_chars"), sha.alias("edited_sha256"), spelled(F.col("a.fp")).alias("fingerprint"), spelled(F.col("efp")).alias("edited_fingerprint"), likeness(F.col("a.fp"), F.col("efp"), samples).alias("near_edited"), likeness(F.col("a.fp"), F.col("nfp"), samples).alias("near_next"))
+    other = fp.where("v = 1").select("g", "h", F.col("fp").alias("efp")).alias("b")
+    nxt = fp.where("v = 0").select(F.col("g").alias("next_g"), F.col("h").alias("next_h"), F.col("fp").alias("nfp")).alias("c")
+    j = own.join(other, ["g", "h"]).join(nxt, ["next_g", "next_h"])
+    sha = F.concat(*[F.lpad(F.lower(F.hex(F.col(f"s{k}"))), 16, "0") for k in range(4)])
+    return j.select("doc_id", F.col("n").alias("n_chars"), sha.alias("edited_sha256"), spelled(F.col("fp")).alias("fingerprint"), spelled(F.col("efp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp"), samples).alias("near_edited"), likeness(F.col("fp"), F.col("nfp"), samples).alias("near_next"))
