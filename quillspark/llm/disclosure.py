@@ -121,7 +121,16 @@ def find(docs: DataFrame, alpha: float = ALPHA, id_col: str = "doc_id", text_col
     near = seen.select("doc_id", "h", "e", F.xxhash64("c").alias("c"), F.explode(_terms(F.col("c"))).alias("t"))
     per_doc = near.groupBy("e", "t", "doc_id", "h").agg(F.min("c").alias("c"))
     pairs = per_doc.groupBy("e", "t", "c").agg(F.count("*").alias("k")).groupBy("e", "t").agg(F.sum("k").alias("n_et"), F.count("*").alias("contexts")).where(F.col("contexts") >= MIN_CONTEXTS)
-    pairs = saved(pairs, "pairs")
+    n_e = saved(seen.select("e", "doc_id", "h").distinct().groupBy("e").agg(F.count("*").alias("n_e")), "n-e")
+    total = docs.count()
+    ic = -F.log(F.col("n_e") / F.lit(float(max(total, 1))))
+
+    def told_by(df: str) -> Column:
+        return (F.log(F.least(F.col("n_et") / F.col(df), F.lit(1.0))) + ic >= alpha * ic) & (ic > 0)
+
+    # documents that have t near an entity are some of those that have it: a bound that drops what cannot disclose
+    near_df = per_doc.select("t", "doc_id", "h").distinct().groupBy("t").agg(F.count("*").alias("near_df"))
+    pairs = saved(pairs.join(saved(near_df, "near-df"), "t").join(n_e, "e").where(told_by("near_df")), "pairs")
     none = F.array().cast("array<struct<s:bigint,e:bigint,v:string>>").alias("term")
     terms = saved(pairs.select("t").distinct(), "terms")
     if terms.isEmpty():
@@ -134,14 +143,10 @@ def find(docs: DataFrame, alpha: float = ALPHA, id_col: str = "doc_id", text_col
         words = text.select(*[F.xxhash64("text").alias("h") if c == "h" else F.col(c) for c in cols], F.explode(_terms(F.col("text"))).alias("t"))
         if few:
             return words.join(F.broadcast(wanted), "t")
-        # counts come first, so that no frequent term gathers all its rows
         return words.join(wanted, "t")
 
     df = having(terms).groupBy("t").agg(F.count("*").alias("df")) if terms.count() <= MOST_TERMS else text.select(F.explode(_terms(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    n_e = seen.select("e", "doc_id", "h").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
-    total = text.count()
-    ic = -F.log(F.col("n_e") / F.lit(float(max(total, 1))))
-    told = pairs.join(saved(df, "df"), "t").join(saved(n_e, "n-e"), "e").where((F.log(F.least(F.col("n_et") / F.col("df"), F.lit(1.0))) + ic >= alpha * ic) & (ic > 0))
+    told = pairs.join(saved(df, "df"), "t").where(told_by("df"))
     told = saved(told.select("t").distinct(), "disclosing")
     if told.isEmpty():
         return base.select("doc_id", "h", *KINDS, none)
