@@ -75,13 +75,15 @@ def _seams(source: str, name: str) -> str:
 
 
 A, B = "ca AS (SELECT * FROM c WHERE class = 'a')", "cb AS (SELECT * FROM c WHERE class = 'b')"
-DMS = f"""{CLASSED}, ta AS (SELECT doc_id, {_k2(TX)} AS t FROM c WHERE class = 'a'), tb AS (SELECT doc_id, {_k2(TX)} AS t FROM c WHERE class = 'b'),
-o AS (SELECT unnest(range(1, 5)) AS o),
-ga AS (SELECT DISTINCT o, unnest(list_transform(range(1, len(t) - o + 2), lambda i: array_to_string(t[i:i + o - 1], ' '))) AS g FROM ta, o WHERE len(t) >= o),
-gb AS (SELECT doc_id, o, unnest(list_transform(range(1, len(t) - o + 2), lambda i: {{'ix': i + o - 2, 'g': array_to_string(t[i:i + o - 1], ' ')}})) AS x FROM tb, o WHERE len(t) >= o),
-h AS (SELECT doc_id, x.ix AS ix, max(gb.o) AS m FROM gb JOIN ga ON ga.o = gb.o AND ga.g = gb.x.g GROUP BY 1, 2),
-e AS (SELECT doc_id, unnest(range(0, len(t))) AS ix FROM tb),
-dms AS (SELECT e.doc_id, e.ix AS tok_ix, coalesce(m, 0) AS m FROM e LEFT JOIN h USING (doc_id, ix))"""
+def _ending(o: int) -> str:
+    return " || ' ' || ".join([f"lag(tok, {k}) OVER w" for k in range(o - 1, 0, -1)] + ["tok"])
+
+
+DMS = f"""{CLASSED}, tk AS (SELECT doc_id, class, unnest(range(0, len(t))) AS ix, unnest(t) AS tok FROM (SELECT doc_id, class, {_k2(TX)} AS t FROM c)),
+gr AS (SELECT doc_id, class, ix, {", ".join(f"{_ending(o)} AS g{o}" for o in range(1, 5))} FROM tk WINDOW w AS (PARTITION BY doc_id ORDER BY ix)),
+{", ".join(f"a{o} AS (SELECT DISTINCT g{o} FROM gr WHERE class = 'a' AND g{o} IS NOT NULL)" for o in range(1, 5))},
+dms AS (SELECT doc_id, ix AS tok_ix, CASE WHEN a4.g4 IS NOT NULL THEN 4 WHEN a3.g3 IS NOT NULL THEN 3 WHEN a2.g2 IS NOT NULL THEN 2 WHEN a1.g1 IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS m
+  FROM gr LEFT JOIN a1 ON a1.g1 = gr.g1 LEFT JOIN a2 ON a2.g2 = gr.g2 LEFT JOIN a3 ON a3.g3 = gr.g3 LEFT JOIN a4 ON a4.g4 = gr.g4 WHERE class = 'b')"""
 
 
 def _literal(phrases: list[str], name: str, channel: str) -> str:
