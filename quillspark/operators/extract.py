@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import workers_import
+
 FRONT = r"^---\n(?s:.*?)\n(?:---|\.\.\.)\n"
 
 
@@ -88,6 +90,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             rows = [(d, k, *b) for d, t in zip(p["doc_id"], p["text"], strict=True) for k, b in enumerate(blocks_of(t or ""))]
             yield pd.DataFrame(rows, columns=["doc_id", "block_ix", "kind", "level", "start", "end"])
 
+    workers_import(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, block_ix int, kind string, level int, start int, end int")
 
 

@@ -8,27 +8,48 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def located(text: Column, pattern: Column | str) -> Column:
-    """Array of (start, end) of a pattern's matches, from the gaps between them."""
-    p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    m = F.regexp_extract_all(text, p, F.lit(0))
-    g = F.split(text, p, -1)
-    both = F.zip_with(F.slice(g, F.lit(1), F.size(m)), m, lambda a, b: F.struct(F.length(a).alias("g"), F.length(b).alias("m")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    step = lambda acc, x: F.struct((acc["at"] + x["g"] + x["m"]).alias("at"), F.array_append(acc["out"], F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["m"]).alias("end"))).alias("out"))
-    return F.aggregate(both, begin, step, lambda acc: acc["out"])
+#: Matches whose positions are summed at a time, so that a text with many costs no more than in proportion.
+CHUNK = 256
+
+
+def located(d: DataFrame, text_col: str, pattern: str) -> DataFrame:
+    """d with an array column `found` of (start, end, v, before, after): a pattern's matches, and the characters next to them.
+
+    Positions are sums of the lengths of matches and of the gaps between them. The arrays are columns of their own, each
+    used more than once, so that no expression of a whole text is evaluated per match.
+    """
+    t = F.col(text_col)
+    d = d.withColumn("_m", F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).withColumn("_g", F.split(t, pattern, -1))
+    d = d.withColumn("_l", F.transform("_m", lambda m, i: F.length(m) + F.length(F.get(F.col("_g"), i))))
+    n = F.size("_l")
+    total = lambda k: F.aggregate(F.slice("_l", k * CHUNK + 1, CHUNK), F.lit(0), lambda a, x: a + x)
+    chunks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    d = d.withColumn("_b", F.aggregate(chunks, F.array(F.lit(0)), lambda acc, k: F.array_append(acc, F.element_at(acc, -1) + total(k))))
+
+    def ends(k: Column) -> Column:
+        """Where each match of chunk k ends."""
+        first = F.array(F.get(F.col("_b"), k))
+        return F.slice(F.aggregate(F.slice("_l", k * CHUNK + 1, CHUNK), first, lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x)), 2, CHUNK)
+
+    d = d.withColumn("_e", F.flatten(F.transform(chunks, ends)))
+
+    def one(e: Column, i: Column) -> Column:
+        m, left, right = F.get(F.col("_m"), i), F.get(F.col("_g"), i), F.get(F.col("_g"), i + 1)
+        left = F.when(left != "", left).otherwise(F.coalesce(F.get(F.col("_m"), i - 1), F.lit("")))
+        right = F.when(right != "", right).otherwise(F.coalesce(F.get(F.col("_m"), i + 1), F.lit("")))
+        return F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("v"), F.right(left, F.lit(1)).alias("before"), F.left(right, F.lit(1)).alias("after"))
+
+    return d.withColumn("found", F.when(F.size("_e") > 0, F.transform("_e", one)).otherwise(F.transform(F.slice("_e", 1, 1), one))).drop("_m", "_g", "_l", "_b", "_e")
 
 
 def literal_spans(docs: DataFrame, phrases: list[str], channel: str = "literal") -> DataFrame:
     """Leftmost-longest phrases; a match that is not bounded by non-letters goes, without another try (it hides shorter ones)."""
     longest = sorted(phrases, key=lambda p: (-len(p), p))
     alt = "|".join("".join("\\" + c if not c.isalnum() and c != " " else c for c in p) for p in longest)
-    t = T.ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    d = docs.select("doc_id", t.alias("t"), F.explode(located(t, alt)).alias("s"))
-    before, after = F.substring("t", F.col("s.start"), F.lit(1)), F.substring("t", F.col("s.end") + 1, F.lit(1))
+    d = located(docs.select("doc_id", T.ascii_lower(F.coalesce(F.col("text"), F.lit(""))).alias("t")), "t", alt)
     letter = r"^[\p{L}']$"
-    ok = ((F.col("s.start") == 0) | ~before.rlike(letter)) & ~after.rlike(letter)
-    return d.where(ok).select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.lit(channel).alias("channel"), F.substring("t", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("frame_id"))
+    bounded = F.filter("found", lambda x: ~x["before"].rlike(letter) & ~x["after"].rlike(letter))
+    return d.select("doc_id", F.explode(bounded).alias("s")).select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.lit(channel).alias("channel"), F.col("s.v").alias("frame_id"))
 
 
 def regex_spans(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -50,6 +71,8 @@ def merge(spans: DataFrame, ranks: dict[str, int]) -> DataFrame:
 
 def islands(spans: DataFrame) -> DataFrame:
     """Merges overlapping or adjacent spans; the name is that of the largest score, ties to the first in (start, end, frame_id)."""
+    # rows of the same span tie in the order; one stays
+    spans = spans.groupBy("doc_id", "start", "end", "frame_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("doc_id").orderBy("start", "end", "frame_id")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     d = spans.withColumn("new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))

@@ -149,7 +149,7 @@ SELECT doc_id, min(tok_ix) AS start_ix, max(tok_ix) + 1 AS end_ix, sum(m)::BIGIN
 SELECT doc_id, sent_ix, frame_id, len(regexp_extract_all(s, pattern)) AS n FROM y, p WHERE regexp_matches(s, pattern)""",
     "merge_spans": f"WITH {TWO}, u AS (SELECT DISTINCT * FROM two) SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY \"start\", \"end\", channel, frame_id) AS ix FROM u",
     "tell_counts": f"WITH {TWO} SELECT doc_id, channel, count(*) AS n FROM two GROUP BY 1, 2",
-    "span_islands": f"""WITH {TWO}, x AS (SELECT *, "end" - "start" AS score, max("end") OVER (PARTITION BY doc_id ORDER BY "start", "end", frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM two),
+    "span_islands": f"""WITH {TWO}, x AS (SELECT *, "end" - "start" AS score, max("end") OVER (PARTITION BY doc_id ORDER BY "start", "end", frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT doc_id, "start", "end", frame_id FROM two)),
 y AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY "start", "end", frame_id ROWS UNBOUNDED PRECEDING) AS isl FROM x),
 z AS (SELECT *, row_number() OVER (PARTITION BY doc_id, isl ORDER BY score DESC, "start", "end", frame_id) AS k FROM y)
 SELECT doc_id, min("start") AS "start", max("end") AS "end", max(CASE WHEN k = 1 THEN frame_id END) AS frame_id FROM z GROUP BY doc_id, isl""",

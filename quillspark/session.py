@@ -28,3 +28,11 @@ def local_session(cpus: int | str = "*", shuffle: int = 8, memory: str = "8g") -
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def workers_import(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the library wherever they start; a cluster ships it (--py-files)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
