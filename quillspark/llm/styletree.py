@@ -4,7 +4,8 @@ The pages of a host are merged into one tree: a node is an element path (tags wi
 m pages that have the node, an element node's presentation importance is the entropy of its pages' child sequences, and
 a text node's content importance is 1 minus the mean, over its texts as often as they occur, of the text's entropy over
 pages: a text on k of m pages has log k / log m. A branch's importance blends both: (1 - g^l) * presentation + g^l * mean of its text
-nodes, l text nodes, g = 0.9. Branches below THRESHOLD, seen on MIN_PAGES pages at least, are removed from each page.
+nodes, l text nodes, g = 0.9. A branch below THRESHOLD, as all its text nodes are, seen on MIN_PAGES pages at least, is
+removed from each page.
 Elements that are never article text by their meaning (navigation, footers, scripts, forms, adverts, comments, by tag, role
 or class) go on every page. Inside article or main, and where a page would be left with no text, only meaning decides;
 outside them, on a page that has them with text, nothing is kept.
@@ -164,7 +165,7 @@ def _hash(x: str) -> int:
 
 
 def tree(pages: DataFrame) -> DataFrame:
-    """host, node, pages, importance of each branch of each host's style tree; pages: url, html."""
+    """host, node, pages, importance, highest (of its text nodes) of each branch of each host's style tree; pages: url, html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,17 +193,17 @@ def tree(pages: DataFrame) -> DataFrame:
     shape = stat.where("kind = 1").select("host", "node", F.col("m").alias("em"), F.when(one, 1.0).otherwise(F.col("sum")).alias("shape"))
     below = counts.where("kind = 2").select("host", "node", F.col("value").alias("leaf"))
     leaves = text.select("host", F.col("node").alias("leaf"), "m", "content")
-    inner = below.join(leaves, ["host", "leaf"]).groupBy("host", "node").agg(F.avg("content").alias("mean"), F.count("*").alias("l"))
+    inner = below.join(leaves, ["host", "leaf"]).groupBy("host", "node").agg(F.avg("content").alias("mean"), F.max("content").alias("highest"), F.count("*").alias("l"))
     weight = F.pow(F.lit(GAMMA), F.col("l"))
-    inner = inner.join(shape, ["host", "node"]).select("host", "node", F.col("em").alias("pages"), ((1 - weight) * F.col("shape") + weight * F.col("mean")).alias("importance"))
-    return text.select("host", "node", F.col("m").alias("pages"), F.col("content").alias("importance")).unionByName(inner)
+    inner = inner.join(shape, ["host", "node"]).select("host", "node", F.col("em").alias("pages"), ((1 - weight) * F.col("shape") + weight * F.col("mean")).alias("importance"), "highest")
+    return text.select("host", "node", F.col("m").alias("pages"), F.col("content").alias("importance"), F.col("content").alias("highest")).unionByName(inner)
 
 
 def extract(pages: DataFrame, page_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of each page."""
     small_batches(pages.sparkSession)
     d = pick(pages, page_id=page_col, url=url_col, html=html_col)
-    noisy = tree(d).where((F.col("importance") < THRESHOLD) & (F.col("pages") >= MIN_PAGES))
+    noisy = tree(d).where((F.greatest("importance", "highest") < THRESHOLD) & (F.col("pages") >= MIN_PAGES))
     # one element a removed branch of the host
     noisy = saved(noisy.groupBy("host").agg(F.collect_set("node").alias("noisy")), "noisy")
     size = noisy.agg(F.coalesce(F.sum(F.size("noisy")), F.lit(0))).first()[0]
