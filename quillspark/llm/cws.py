@@ -99,13 +99,13 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     d = pick(docs, doc_id=id_col, text=text_col).select("doc_id", text_or_empty(F.col("text")).alias("text"))
     d = d.withColumn("g", never_null(d, "doc_id")).withColumn("h", F.xxhash64("text")).withColumn("n", F.length("text").cast("long"))
     near = saved(neighbours(d), "neighbours")
-    # one partitioning of the texts serves the grouping and both joins
-    one = d.select("doc_id", "g", "h", "text").groupBy("g", "h").agg(F.first("text").alias("text"), F.first("doc_id").alias("doc_id"))
+    # one shuffle of the texts serves the grouping and both joins: either use reads the same columns, as one struct
+    one = d.groupBy("g", "h").agg(F.first(F.struct("doc_id", "text")).alias("row"))
     t = one.join(near, ["g", "h"])
-    sent = t.select(F.col("prev_g").alias("g"), F.col("prev_h").alias("h"), F.substring(F.col("text"), F.lit(1), F.floor(F.col("prev_n") / 2).cast("int")).alias("tail"))
+    sent = t.select(F.col("prev_g").alias("g"), F.col("prev_h").alias("h"), F.substring(F.col("row.text"), F.lit(1), F.floor(F.col("prev_n") / 2).cast("int")).alias("tail"))
     both = t.join(sent, ["g", "h"])
-    keep = F.substring(F.col("text"), F.lit(1), (F.col("n") - F.floor(F.col("n") / 2)).cast("int"))
-    return both.select("doc_id", "g", "h", "n", "next_g", "next_h", "text", F.concat(keep, F.col("tail")).alias("edited"))
+    keep = F.substring(F.col("row.text"), F.lit(1), (F.col("n") - F.floor(F.col("n") / 2)).cast("int"))
+    return both.select("row.doc_id", "g", "h", "n", "next_g", "next_h", "row.text", F.concat(keep, F.col("tail")).alias("edited"))
 
 
 def compare(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
