@@ -34,31 +34,43 @@ from .chunks import ChunkCache
 from .common import pick, shared_dir, small_batches
 
 BLOCK, SEGMENT, MAGIC = 256, 16_384, 0x42385351
+#: Chunks of texts whose ids a worker keeps.
+MOST = 1_200_000
 #: By selector: ids in a word, bits each.
 COUNT = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 
 
-def pack(ids: np.ndarray, block_start: np.ndarray, block_size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words of all blocks one after another, and how many each block has."""
-    n = len(block_start)
+def pack(ids: np.ndarray, block_size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of all blocks one after another, and how many each block has; the blocks follow one another in ids."""
+    n = len(block_size)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at = block_start[:, None] + np.arange(BLOCK)
-    inside = np.arange(BLOCK) < block_size[:, None]
     val = np.zeros((n, BLOCK + 240), np.uint64)
-    val[:, :BLOCK][inside] = ids[at[inside]]
+    if (block_size[:-1] == BLOCK).all():
+        whole = len(ids) // BLOCK
+        val[:whole, :BLOCK] = ids[: whole * BLOCK].reshape(whole, BLOCK)
+        val[whole:, : len(ids) - whole * BLOCK] = ids[whole * BLOCK :]
+    else:
+        val[:, :BLOCK][np.arange(BLOCK) < block_size[:, None]] = ids
     # bits of each id; one more than the last width's is nothing's
     need = np.frexp(val[:, :BLOCK].astype(np.float64))[1].astype(np.int8)
     best = np.full((n, BLOCK), 15, np.int8)
     pos = np.arange(BLOCK, dtype=np.int16)
     for s in range(14, -1, -1):
+        small = need <= BITS[s]
+        if COUNT[s] >= 7:
+            # so long a run covers four ids at a multiple of four, if it doesn't reach the block's end
+            rows = np.flatnonzero((small.view(np.uint32) == 0x01010101).any(1) | small[:, -1])
+            if not len(rows):
+                break  # no id is this small, nor smaller
+            small = small[rows]
+        else:
+            rows = slice(None)
         # the next position whose id has more bits; none left in the block: anything fits
-        over = np.where(need > BITS[s], pos, np.int16(2 * BLOCK))
-        if s < 12 and (over < 2 * BLOCK).all():
-            break  # no id is this small, nor smaller
+        over = np.where(small, np.int16(2 * BLOCK), pos)
         reach = np.minimum.accumulate(over[:, ::-1], axis=1)[:, ::-1]
-        best[reach - pos >= COUNT[s]] = s
+        best[rows] = np.where(reach - pos >= COUNT[s], np.int8(s), best[rows])
     best, stride = best.ravel(), BLOCK + 240
     starts = np.zeros((n, BLOCK), bool)
     row, p = np.flatnonzero(block_size > 0), np.zeros(n, np.int64)
@@ -66,14 +78,15 @@ def pack(ids: np.ndarray, block_start: np.ndarray, block_size: np.ndarray) -> tu
         starts[row, p[row]] = True
         p[row] += COUNT[best[row * BLOCK + p[row]]]
         row = row[p[row] < block_size[row]]
-    r, c = np.nonzero(starts)
-    sel = best[r * BLOCK + c]
+    f = np.flatnonzero(starts.ravel())
+    sel = best[f]
+    at = f // BLOCK * stride + f % BLOCK
     words = sel.astype(np.uint64) << np.uint64(60)
     flat = val.ravel()
     for s in range(2, 16):
         k = np.flatnonzero(sel == s)
         if len(k):
-            take = flat[(r[k] * stride + c[k])[:, None] + np.arange(COUNT[s])]
+            take = flat[at[k][:, None] + np.arange(COUNT[s])]
             words[k] |= np.bitwise_or.reduce(take << (np.arange(COUNT[s]) * BITS[s]).astype(np.uint64), axis=1)
     return words, starts.sum(1)
 
@@ -119,7 +132,7 @@ def segments(doc_ids: list, per: np.ndarray, ids: np.ndarray) -> list[tuple[int,
     upto = np.concatenate([[0], np.cumsum(per)])
     n_ids = np.diff(upto[cut])
     n_blocks, size = _blocks(n_ids)
-    words, block_words = pack(ids, np.cumsum(size) - size, size)
+    words, block_words = pack(ids, size)
     word_at = np.concatenate([[0], np.cumsum(block_words)])
     block_at = np.concatenate([[0], np.cumsum(n_blocks)])
     out = []
@@ -166,7 +179,7 @@ def _cache(path: str, pat: str) -> ChunkCache:
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return ChunkCache(lambda chunks: [e.ids for e in t.encode_batch_fast(chunks, add_special_tokens=False)], pat)
+    return ChunkCache(lambda chunks: [e.ids for e in t.encode_batch_fast(chunks, add_special_tokens=False)], pat, MOST)
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, pat: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> str:
