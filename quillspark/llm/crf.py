@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import pick, small_batches
 
-LONGEST, ENDS = 128, (".", "!", "?")
+#: Texts that the fit tokenizes at a time.
+LONGEST, ENDS, PART = 128, (".", "!", "?"), 100
 _STRIP = "".join(map(chr, range(33, 127)))
 _STRIP = "".join(c for c in _STRIP if not c.isalnum()) + "“”„«»’‘…–—¡¿"
 
@@ -172,27 +173,38 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 40, most_tokens: int = 15
     base = np.log((n1 + 1) / (n0 + 1))
     tied = {f: np.log((c + 0.3) / (df[0][f] + 0.3)) - base for f, c in df[1].items() if c >= 4 and f not in ("b", "caps")}
     strong = {f for f, v in tied.items() if v > 3.2}
-    tokens, seq, text = sequences(texts)
     cached: dict[str, bool] = {}
-    gold = np.zeros(len(tokens), bool)
-    for k in np.flatnonzero(y[text] == 1).tolist():
-        t = tokens[k]
-        v = cached.get(t)
-        if v is None:
-            v = cached[t] = any(f in strong for f in word_features(t))
-        gold[k] = v
-    # all sequences with a T, and as many others as the bound leaves room for
-    n_seq = int(seq[-1]) + 1 if len(seq) else 0
-    has = np.bincount(seq, gold, n_seq) > 0
-    rng = np.random.default_rng(3)
-    pick_first = np.where(has, 0.0, 1 + rng.random(n_seq))
-    order = np.argsort(pick_first, kind="stable")
-    size = np.bincount(seq, minlength=n_seq)
-    use = np.zeros(n_seq, bool)
+
+    def golden(tokens: list[str], toxic: np.ndarray) -> np.ndarray:
+        gold = np.zeros(len(tokens), bool)
+        for k in np.flatnonzero(toxic).tolist():
+            t = tokens[k]
+            v = cached.get(t)
+            if v is None:
+                v = cached[t] = any(f in strong for f in word_features(t))
+            gold[k] = v
+        return gold
+
+    # all sequences with a T, and as many others as the bound leaves room for; tokens of PART texts are in memory at a time
+    has, size = [], []
+    for k in range(0, len(texts), PART):
+        tokens, seq, text = sequences(texts[k : k + PART])
+        n_seq = int(seq[-1]) + 1 if len(seq) else 0
+        has.append(np.bincount(seq, golden(tokens, y[k + text] == 1), n_seq) > 0)
+        size.append(np.bincount(seq, minlength=n_seq))
+    first = np.cumsum([0, *map(len, size)])
+    has, size = np.concatenate(has), np.concatenate(size)
+    order = np.argsort(np.where(has, 0.0, 1 + np.random.default_rng(3).random(len(size))), kind="stable")
+    use = np.zeros(len(size), bool)
     use[order[: max(1, int(np.searchsorted(np.cumsum(size[order]), most_tokens)))]] = True
-    keep = use[seq]
-    tok = [t for t, k in zip(tokens, keep.tolist(), strict=True) if k]
-    seq, gold = seq[keep], gold[keep].astype(float)
+    tok, seqs, golds = [], [], []
+    for k, at in zip(range(0, len(texts), PART), first.tolist(), strict=False):
+        tokens, seq, text = sequences(texts[k : k + PART])
+        keep = use[at + seq]
+        tok += [t for t, used in zip(tokens, keep.tolist(), strict=True) if used]
+        seqs.append((at + seq)[keep])
+        golds.append(golden(tokens, y[k + text] == 1)[keep].astype(float))
+    seq, gold = np.concatenate(seqs), np.concatenate(golds)
     weights_of: dict[str, int] = {}
     at, idx = [], []
     for k, t in enumerate(tok):
@@ -217,8 +229,8 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 40, most_tokens: int = 15
         w += 0.5 * g / np.sqrt(sq)
         trans = trans + 0.2 * gt / np.sqrt(tsq)
     model = ToxicCRF({f: float(w[k]) for f, k in weights_of.items()}, trans, None)
-    p, of, _ = model.tag(texts)
-    z = model.summary(p, of, len(texts))
+    z = np.concatenate([model.summary(*model.tag(texts[k : k + PART])[:2], len(texts[k : k + PART])) for k in range(0, len(texts), PART)])
+    model.known.clear()
     head = np.zeros(z.shape[1])
     ridge = np.diag([1e-3, 0.1, 0.1, 0.1])
     for _ in range(30):
