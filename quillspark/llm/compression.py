@@ -22,8 +22,9 @@ from .common import pick, small_batches
 
 #: Up to so many bytes, the ratio of the whole text is to be in [low, high].
 BANDS = ((100, 0.0, 4.0), (300, 0.9, 2.8), (700, 1.1, 2.8), (1500, 1.2, 2.9), (3000, 1.3, 3.0), (6000, 1.4, 3.2), (12_000, 1.4, 3.5), (1 << 62, 1.4, 4.5))
-#: Chunks of so many bytes have this band; at most this share of a text's full chunks may be outside.
-CHUNK, CHUNK_BAND, CHUNK_SHARE = 2048, (1.25, 3.2), 0.34
+#: Chunks of so many bytes have this band; at most this share of a text's chunks may be outside. Base64 chunks are at 1.3,
+#: prose chunks at 1.88 or more; hex digits compress like prose (1.88 to 1.93), so that no bound of a ratio tells them apart.
+CHUNK, CHUNK_BAND, CHUNK_SHARE = 2048, (1.6, 3.2), 0.1
 SYMBOLS = "#*$%&|<>"
 
 
