@@ -2,7 +2,8 @@
 
 zstandard ratios (bytes over compressed bytes) of the whole text and of fixed chunks must lie in the band of the text's
 length: repetitive text compresses too well, noise (keys, encoded data) too little. Short texts have wide bands, as
-frames and an empty window weigh more there. Counts of the base rules come with the verdict.
+frames and an empty window weigh more there. A text of a chunk's length or more is covered by chunks from begin to end; a
+shorter one is a chunk of its own size with the band of its length. Counts of the base rules come with the verdict.
 
 Defined cases: null text has no words, all counts 0, fails the base rules; empty likewise; repeated rows give repeated
 results; empty table: empty result; other columns are not read. Each text is looked at as a whole and on its own.
@@ -61,10 +62,13 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 def ratios(raw: bytes) -> tuple[float, list[float]]:
-    """Ratio of the whole and of each full chunk; 1 for nothing."""
+    """Ratio of the whole, 1 for nothing; those of its chunks, of which the last ends with the text and may overlap."""
     z = _compressor()
     whole = len(raw) / len(z.compress(raw)) if raw else 1.0
-    return whole, [CHUNK / len(z.compress(raw[k : k + CHUNK])) for k in range(0, len(raw) - CHUNK + 1, CHUNK)] if len(raw) >= 2 * CHUNK else []
+    starts = [*range(0, len(raw) - CHUNK + 1, CHUNK)]
+    if starts and len(raw) % CHUNK:
+        starts.append(len(raw) - CHUNK)
+    return whole, [CHUNK / len(z.compress(raw[k : k + CHUNK])) for k in starts]
 
 
 def verdict(n_bytes: int, whole: float, chunks: list[float]) -> bool:

@@ -30,3 +30,12 @@ def test_long_prose_with_noise_or_repetition_is_not_kept():
     # a fifth of the text
     assert not _kept(prose[:32_000] + _base64(8_000))
     assert not _kept(prose[:32_000] + "buy this now and save " * 370)
+
+
+def test_every_byte_of_a_long_text_is_in_a_chunk():
+    prose, noise = _prose(8_000), _base64(2048)
+    assert [len(compression.ratios(prose[:n].encode())[1]) for n in (2047, 2048, 2049, 4095, 4096, 5000)] == [0, 1, 2, 2, 2, 3]
+    # a chunk in a text of less than two, and the tail
+    assert not _kept(noise + prose[:1900]) and not _kept(prose[:1900] + noise)
+    assert not _kept(prose[: 2 * 2048] + noise[:2000])
+    assert all(_kept(prose[:n]) for n in (2048, 3000, 4095, 5000, 8000))
