@@ -7,8 +7,8 @@ pages: a text on k of m pages has log k / log m. A branch's importance blends bo
 nodes, l text nodes, g = 0.9. A branch below THRESHOLD, as all its text nodes are, seen on MIN_PAGES pages at least, is
 removed from each page.
 Elements that are never article text by their meaning (navigation, footers, scripts, forms, adverts, comments, by tag, role
-or class) go on every page. Inside article or main, and where a page would be left with no text, only meaning decides;
-outside them, on a page that has them with text, nothing is kept.
+or class) go on every page. Of a page that has article or main with text, only what is inside them is looked at. There as
+elsewhere the tree decides; only where it would leave a page with no text does meaning alone.
 
 Defined cases: null html: no text; null url or one without a host: the host is the empty string; repeated pages count as
 pages and give repeated rows; pages of any length are parsed whole; empty table: empty result; other columns are not read.
@@ -212,9 +212,8 @@ def extract(pages: DataFrame, page_col: str = "page_id", url_col: str = "url", h
 
     def main_text(page: str | None, gone: set[int]) -> str:
         blocks = [(b, t) for b in parse(page)[0] if not b.never and (t := b.text)]
-        inside = [t for b, t in blocks if b.main]
-        if inside:
-            return " ".join(inside)
+        # what the page itself marks as its main text
+        blocks = [x for x in blocks if x[0].main] or blocks
         kept = [t for b, t in blocks if not any(_key(b.path[:k]) in gone for k in range(1, len(b.path) + 1))] if gone else []
         return " ".join(kept or [t for _, t in blocks])
 

@@ -3,7 +3,7 @@
 import base64
 import random
 
-from quillspark.llm import compression
+from quillspark.llm import compression, styletree
 
 
 def _prose(n):
@@ -39,3 +39,15 @@ def test_every_byte_of_a_long_text_is_in_a_chunk():
     assert not _kept(noise + prose[:1900]) and not _kept(prose[:1900] + noise)
     assert not _kept(prose[: 2 * 2048] + noise[:2000])
     assert all(_kept(prose[:n]) for n in (2048, 3000, 4095, 5000, 8000))
+
+
+# 5
+def test_style_tree_decides_inside_articles(spark):
+    body = "<html><body><div class=top>Top line of the site</div><article><h2>Story {0}</h2><div class=x><p>Read this with our app</p></div><p>{1}</p></article></body></html>"
+    same = "<html><body><article><p>All there is on this host</p></article></body></html>"
+    own = [f"Text number {k} is of its own kind and goes on for {k * 3} words" for k in range(20)]
+    pages = [(k, f"https://site.example/{k}", body.format(k, own[k])) for k in range(20)] + [(100 + k, f"https://same.example/{k}", same) for k in range(20)]
+    got = {r.page_id: r.text for r in styletree.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = {k: f"Story {k} {own[k]}" for k in range(20)}
+    # a page is never left empty
+    assert got == want | {100 + k: "All there is on this host" for k in range(20)}
