@@ -1,16 +1,17 @@
 """Operator 2: information-theoretic sanitisation of personal data, in DataFrame functions alone.
 
 Protected entities are e-mail addresses, IP addresses, card numbers and phone numbers, found by pattern and check digit.
-A term is a run of letters and digits in lower case. Over the whole corpus, n_e documents have entity e, n_et have term t
-within REACH code points of it, df_t have t anywhere, N are all. IC(e) = -ln(n_e / N) is what e is worth,
-PMI(e; t) = IC(e) + ln(n_et / df_t) is what t tells of it. t discloses e if PMI >= alpha * IC, seen in at least
-MIN_CONTEXTS different surroundings (copies of a text are one). Disclosing terms are spans of kind `term` in every text
-that has them; sanitise() generalises entities to their kind and removes or generalises terms.
+A term is a run of letters and digits in lower case. Over the whole corpus, n_e documents have entity e, n_et of them have
+term t too, anywhere outside their entities, df_t have t anywhere, N are all. IC(e) = -ln(n_e / N) is what e is worth,
+PMI(e; t) = IC(e) + ln(n_et / df_t) is what t tells of it. t discloses e if PMI >= alpha * IC, however few documents have
+e: a term of those documents alone tells all of it. Disclosing terms are spans of kind `term` in every text that has them;
+sanitise() generalises entities to their kind and removes or generalises terms.
 
 Positions: a pattern's matches and the gaps between them, whose lengths add up. Patterns are possessive or anchored to the
-start of a run where that changes no match, so that no text makes them quadratic or deep. Contexts and counts are
-aggregated before each shuffle. Terms looked for in the corpus (those seen near entities in enough surroundings) are
-broadcast if they are counted to be at most MOST_TERMS; else they are joined by shuffle.
+start of a run where that changes no match, so that no text makes them quadratic or deep. As n_et <= n_e, a term of more
+than n_e^alpha * N^(1 - alpha) documents discloses no e: it goes before pairs are made. Entities of the same documents have
+the same counts, so one of them stands for all. Terms looked for in the corpus are broadcast if they are counted to be at
+most MOST_TERMS; else they are joined by shuffle.
 
 Defined cases: null text is empty; no finds: counts 0 and the digest of the empty string; repeated rows give repeated
 results and count as documents; null doc_id is an id like another; empty table: empty result; other columns: kept by
@@ -34,7 +35,7 @@ FIND = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-REACH, MIN_CONTEXTS, ALPHA, MOST_TERMS = 60, 3, 0.9, 200_000
+ALPHA, MOST_TERMS = 0.9, 200_000
 NOT_TERM = r"[^\p{L}\p{N}]+"
 
 
@@ -94,43 +95,57 @@ def _terms(x: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(x), NOT_TERM)), lambda w: F.length(w) >= 2)
 
 
-def _mentions() -> Column:
-    """Array of (entity, its surroundings before and after) of a row of entities()."""
-    t = F.col("text")
+def _mentioned() -> Column:
+    """Array of the distinct entities of a row of entities()."""
+
+    def named(kind: str):
+        return lambda x: F.concat(F.lit(kind + ":"), F.lower(x["v"]) if kind in ("email", "ip") else _digits(x["v"]))
 
-    def around(kind: str):
-        def one(x: Column) -> Column:
-            value = F.lower(x["v"]) if kind in ("email", "ip") else _digits(x["v"])
-            lo = F.greatest(x["s"] - REACH, F.lit(0))
-            # a cut word at either edge is left out
-            left = F.substring(t, (lo + 1).cast("int"), (x["s"] - lo).cast("int"))
-            left = F.when(lo > 0, F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
-            right = F.regexp_replace(F.substring(t, (x["e"] + 1).cast("int"), F.lit(REACH)), r"[\p{L}\p{N}]+$", "")
-            return F.struct(F.concat(F.lit(kind + ":"), value).alias("e"), F.concat(left, F.lit("\n"), right).alias("c"))
+    return F.array_distinct(F.concat(*[F.transform(kind, named(kind)) for kind in KINDS]))
 
-        return one
 
-    return F.concat(*[F.transform(kind, around(kind)) for kind in KINDS])
+def _outside() -> Column:
+    """Array of the distinct terms outside the entities of a row of entities(); none if it has no entity."""
+    t = F.col("text")
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        gap = F.substring(t, (acc["at"] + 1).cast("int"), F.greatest(x["s"] - acc["at"], F.lit(0)).cast("int"))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.array_append(acc["out"], gap).alias("out"))
+
+    whole = F.array_sort(F.concat(*KINDS))
+    rest = F.aggregate(whole, begin, step, lambda acc: F.concat(F.array_join(acc["out"], "\n"), F.lit("\n"), F.substring(t, (acc["at"] + 1).cast("int"), F.lit(2147483647))))
+    return F.when(F.size(F.concat(*KINDS)) > 0, _terms(rest)).otherwise(F.array().cast("array<string>"))
 
 
 def find(docs: DataFrame, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, h, and email, ip, card, phone, term: arrays of (s, e, v) for each row."""
     d = entities(docs, id_col, text_col)
-    base = saved(d.select("doc_id", "h", *KINDS, _mentions().alias("mentions")), "entities")
-    seen = base.select("doc_id", "h", F.explode("mentions").alias("m")).select("doc_id", "h", "m.e", "m.c")
-    near = seen.select("doc_id", "h", "e", F.xxhash64("c").alias("c"), F.explode(_terms(F.col("c"))).alias("t"))
-    per_doc = near.groupBy("e", "t", "doc_id", "h").agg(F.min("c").alias("c"))
-    pairs = per_doc.groupBy("e", "t", "c").agg(F.count("*").alias("k")).groupBy("e", "t").agg(F.sum("k").alias("n_et"), F.count("*").alias("contexts")).where(F.col("contexts") >= MIN_CONTEXTS)
-    n_e = saved(seen.select("e", "doc_id", "h").distinct().groupBy("e").agg(F.count("*").alias("n_e")), "n-e")
-    total = docs.count()
-    ic = -F.log(F.col("n_e") / F.lit(float(max(total, 1))))
+    # a row's number is read back as it was written
+    base = saved(d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "h", *KINDS, _mentioned().alias("es"), _outside().alias("ts")), "entities")
+    seen = base.select("row", F.explode("es").alias("e"))
+    total = float(max(docs.count(), 1))
+    n_e = seen.groupBy("e").agg(F.count("*").alias("n_e"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("rows"))
+    n_e = saved(n_e.where(F.col("n_e") < total).groupBy("n_e", "rows").agg(F.min("e").alias("e")).select("e", "n_e"), "n-e")
+    few = n_e.count() <= MOST_TERMS
+    members = seen.join(F.broadcast(n_e) if few else n_e, "e")
+    # the most documents of a term that can disclose; a little more, for rounding
+    most = F.pow(F.col("n_e").cast("double"), F.lit(float(alpha))) * total ** (1 - alpha) * (1 + 1e-9)
+    highest = n_e.agg(F.max(most)).first()[0] or 0.0
+    ic = -F.log(F.col("n_e") / F.lit(total))
 
     def told_by(df: str) -> Column:
         return (F.log(F.least(F.col("n_et") / F.col(df), F.lit(1.0))) + ic >= alpha * ic) & (ic > 0)
 
-    # documents that have t near an entity are some of those that have it: a bound that drops what cannot disclose
-    near_df = per_doc.select("t", "doc_id", "h").distinct().groupBy("t").agg(F.count("*").alias("near_df"))
-    pairs = saved(pairs.join(saved(near_df, "near-df"), "t").join(n_e, "e").where(told_by("near_df")), "pairs")
+    # documents with entities that have t are some of those that have it: a bound that drops what cannot disclose
+    held = base.select("row", F.explode("ts").alias("t"))
+    near_df = saved(held.groupBy("t").agg(F.count("*").alias("near_df")).where(F.col("near_df") <= highest), "near-df")
+    few = near_df.count() <= MOST_TERMS
+    rare = held.join(F.broadcast(near_df) if few else near_df, "t")
+    pairs = rare.join(members, "row").where(F.col("near_df") <= most).groupBy("e", "t").agg(F.count("*").alias("n_et"), F.first("near_df").alias("near_df"), F.first("n_e").alias("n_e"))
+    # of pairs with the same term and as frequent an entity, the one with most documents tells most
+    pairs = pairs.where(told_by("near_df")).groupBy("t", "n_e").agg(F.max("n_et").alias("n_et"))
+    pairs = saved(pairs, "pairs")
     none = F.array().cast("array<struct<s:bigint,e:bigint,v:string>>").alias("term")
     terms = saved(pairs.select("t").distinct(), "terms")
     if terms.isEmpty():

@@ -3,7 +3,7 @@
 import base64
 import random
 
-from quillspark.llm import compression, styletree
+from quillspark.llm import compression, disclosure, styletree
 
 
 def _prose(n):
@@ -41,6 +41,21 @@ def test_every_byte_of_a_long_text_is_in_a_chunk():
     assert all(_kept(prose[:n]) for n in (2048, 3000, 4095, 5000, 8000))
 
 
+# 2
+def test_terms_of_rare_entities_and_far_from_them_disclose(spark):
+    filler = " ".join(f"common{k}" for k in range(60))
+    rows = [(k, f"{filler} plain{k % 9}") for k in range(1200)]
+    rows += [(2000, f"Quendolin wrote {filler} to kim@corp.example"), (2001, f"call +49 170 1234567 {filler} {filler} ref Tazmo77")]
+    rows += [(2002, f"Murgat has {filler} 10.1.2.3"), (2003, f"10.1.2.3 {filler} ask Murgat"), (2004, f"{filler} where is Quendolin")]
+    out = {r.doc_id: r.text for r in disclosure.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "Quendolin" not in out[2000] + out[2004] and "Tazmo77" not in out[2001] and "Murgat" not in out[2002] + out[2003]
+    assert filler in out[2000] and filler in out[2004] and all(out[i] == t for i, t in rows if i < 2000)
+    # the entity's own words are no terms of it
+    again = rows + [(2005, f"{filler} kim")]
+    got = {r.doc_id: r.text for r in disclosure.sanitise(spark.createDataFrame(again, "doc_id long, text string")).collect()}
+    assert got[2005] == again[-1][1]
+
+
 # 5
 def test_style_tree_decides_inside_articles(spark):
     body = "<html><body><div class=top>Top line of the site</div><article><h2>Story {0}</h2><div class=x><p>Read this with our app</p></div><p>{1}</p></article></body></html>"
