@@ -235,7 +235,7 @@ def _model(path: str) -> SegmentTreeBPE:
 def _cache(path: str, pat: str) -> ChunkCache:
     model, find = _model(path), pattern(pat)
 
-    def encode(chunks: list[str]) -> list:
+    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = []
         for x in chunks:
             # most are a space and letters, with one sign after them or none
@@ -248,7 +248,9 @@ def _cache(path: str, pat: str) -> ChunkCache:
                 split.append(find.findall(x))
         pieces = list(dict.fromkeys(chain.from_iterable(split)))
         ids = dict(zip(pieces, model.pieces([p.encode() for p in pieces]), strict=True))
-        return [ids[x[0]] if len(x) == 1 else [i for p in x for i in ids[p]] for x in split]
+        out = [ids[x[0]] if len(x) == 1 else [i for p in x for i in ids[p]] for x in split]
+        size = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter(chain.from_iterable(out), np.int32, int(size.sum())), size
 
     return ChunkCache(encode, pat)
 

@@ -26,20 +26,22 @@ def pattern(p: str) -> regex.Pattern:
 
 
 class ChunkCache:
-    """Ids of chunks. encode gets distinct strings and returns one sequence of ids each.
+    """Ids of chunks. encode gets distinct strings and returns all their ids one after another, and how many each has.
 
-    most: so many chunks are kept; beyond it those seen least go, which costs time and changes no result.
+    most: so many chunks are kept; beyond it those seen least go, which costs time and changes no result. Arrays grow by
+    doubling; the first n (or n_flat) elements are in use.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], pat: str, most: int = 600_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], pat: str, most: int = 400_000):
         self.encode, self.pat, self.most = encode, pattern(pat), most
         # chunks with a space before them, and those without
         self.spaced: dict[str, int] = {}
         self.bare: dict[str, int] = {}
-        self.flat = np.zeros(0, np.int32)
-        self.start, self.size, self.seen = (np.zeros(0, np.int64) for _ in range(3))
+        self.n = self.n_flat = 0
+        self.flat = np.zeros(1 << 12, np.int32)
+        self.start, self.size, self.seen = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
         # begins (or ends) with white space; empty: both
-        self.opens, self.closes = np.zeros(0, bool), np.zeros(0, bool)
+        self.opens, self.closes = np.zeros(1 << 12, bool), np.zeros(1 << 12, bool)
 
     def _learn(self, spaced: list[str], bare: list[str]) -> None:
         # letters and then signs are two pieces, each of which may be known already
@@ -57,40 +59,56 @@ class ChunkCache:
             own, own_bare = set(whole), set(bare)
             self._add(whole + [w for w in ends if w not in own], bare + [t for t in tails if t not in own_bare])
             a, b = (np.fromiter((known[m[k]] for m in made), np.int64, len(made)) for known, k in ((self.spaced, 1), (self.bare, 2)))
-            start, size = np.stack([self.start[a], self.start[b]], 1).ravel(), np.stack([self.size[a], self.size[b]], 1)
+            start, size = np.stack([self.start[a], self.start[b]], 1).ravel(), np.stack([self.size[a], self.size[b]], 1).astype(np.int64)
             self._keep([m[0] for m in made], [], size.sum(1), gather(self.flat, start, size.ravel()))
         else:
             self._add(whole, bare)
 
     def _add(self, spaced: list[str], bare: list[str]) -> None:
         if spaced or bare:
-            ids = self.encode([" " + x for x in spaced] + bare)
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self._keep(spaced, bare, size, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())))
+            flat, size = self.encode([" " + x for x in spaced] + bare)
+            self._keep(spaced, bare, size, flat)
+
+    def _room(self, name: str, used: int, more: int) -> np.ndarray:
+        old = getattr(self, name)
+        if used + more > len(old):
+            new = np.zeros(max(2 * len(old), used + more), old.dtype)
+            new[:used] = old[:used]
+            setattr(self, name, new)
+            return new
+        return old
 
     def _keep(self, spaced: list[str], bare: list[str], size: np.ndarray, flat: np.ndarray) -> None:
-        n, m = len(self.size), len(self.size) + len(spaced)
+        n, k = self.n, len(size)
+        m = n + len(spaced)
         self.spaced.update(zip(spaced, range(n, m), strict=True))
-        self.bare.update(zip(bare, range(m, n + len(size)), strict=True))
+        self.bare.update(zip(bare, range(m, n + k), strict=True))
         both = spaced + bare
-        self.opens = np.concatenate([self.opens, np.fromiter((not x or x[0] in WHITE for x in both), bool, len(both))])
-        self.closes = np.concatenate([self.closes, np.fromiter((not x or x[-1] in WHITE for x in both), bool, len(both))])
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.seen = np.concatenate([self.seen, np.zeros(len(size), np.int64)])
-        self.flat = np.concatenate([self.flat, flat])
+        self._room("opens", n, k)[n : n + k] = np.fromiter((not x or x[0] in WHITE for x in both), bool, k)
+        self._room("closes", n, k)[n : n + k] = np.fromiter((not x or x[-1] in WHITE for x in both), bool, k)
+        self._room("start", n, k)[n : n + k] = self.n_flat + np.cumsum(size) - size
+        self._room("size", n, k)[n : n + k] = size
+        self._room("seen", n, k)[n : n + k] = 0
+        self._room("flat", self.n_flat, len(flat))[self.n_flat : self.n_flat + len(flat)] = flat
+        self.n, self.n_flat = n + k, self.n_flat + len(flat)
 
     def _forget(self) -> None:
-        keep = np.zeros(len(self.size), bool)
-        keep[np.argsort(-self.seen, kind="stable")[: self.most // 2]] = True
+        n = self.n
+        keep = np.zeros(n, bool)
+        keep[np.argsort(-self.seen[:n], kind="stable")[: self.most // 2]] = True
         new = np.cumsum(keep) - 1
         for name in ("spaced", "bare"):
             old = getattr(self, name)
             setattr(self, name, {x: int(new[k]) for x, k in old.items() if keep[k]})
-        self.flat = gather(self.flat, self.start[keep], self.size[keep])
-        self.size, self.opens, self.closes = self.size[keep], self.opens[keep], self.closes[keep]
-        self.seen = self.seen[keep] // 2
-        self.start = np.cumsum(self.size) - self.size
+        size = self.size[:n][keep]
+        flat = gather(self.flat, self.start[:n][keep], size.astype(np.int64))
+        self.n, self.n_flat = len(size), len(flat)
+        self.flat[: self.n_flat] = flat
+        for name in ("opens", "closes"):
+            getattr(self, name)[: self.n] = getattr(self, name)[:n][keep]
+        self.seen[: self.n] = self.seen[:n][keep] // 2
+        self.size[: self.n] = size
+        self.start[: self.n] = np.cumsum(size, dtype=np.int64) - size
 
     def _codes(self, known: dict[str, int], chunks: list[str], spaced: bool) -> np.ndarray:
         code = np.fromiter(map(known.get, chunks, repeat(-1)), np.int64, len(chunks))
@@ -103,7 +121,7 @@ class ChunkCache:
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and how many each has. None counts as empty."""
-        if len(self.size) > self.most:
+        if self.n > self.most:
             self._forget()
         heads, rest, per = [], [], np.zeros(len(texts), np.int64)
         for k, t in enumerate(texts):
@@ -133,8 +151,8 @@ class ChunkCache:
                 parts.append(self._codes(self.bare, pieces, False))
                 new_per[k], done = len(pieces), first[k] + per[k]
             code, per = np.concatenate([*parts, code[done:]]), new_per
-        self.seen += np.bincount(code, minlength=len(self.size))
-        size = self.size[code]
+        self.seen[: self.n] += np.bincount(code, minlength=self.n).astype(np.int32)
+        size = self.size[code].astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(per)])]
         return gather(self.flat, self.start[code], size), np.diff(upto)
 

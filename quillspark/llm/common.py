@@ -41,8 +41,8 @@ def pick(docs: DataFrame, **cols: str) -> DataFrame:
     return docs.select(*[docs[c].alias(n) for n, c in cols.items()])
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what a Python worker holds at a time: so many rows of whole texts.
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Bounds what a Python worker holds at a time: so many rows of whole texts, and so many bytes (a longer row is alone).
 
     Also lets workers on this machine import the library wherever they start; a cluster ships it (--py-files).
     """
@@ -50,6 +50,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def text_or_empty(col) -> F.Column:

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -138,6 +139,11 @@ def test_pfair_places(spark, small_dir):
 
 
 # 4
+@lru_cache
+def _library(path):
+    return Tokenizer.from_file(path)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.just(0), st.integers(0, 3), st.integers(0, 60_000), st.integers(0, 2**32 - 1)), max_size=900))
 def test_simple8b_round_trip(ids):
@@ -147,7 +153,6 @@ def test_simple8b_round_trip(ids):
 
 def test_token_files(spark, small_dir, texts):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     got = {r.doc_id: r for r in queries.op4_simple8b(spark, small_dir).collect()}
     start = 0
     for i in sorted(texts):
@@ -156,6 +161,27 @@ def test_token_files(spark, small_dir, texts):
         start += len(ids)
 
 
+SPECIAL = ["see <|endoftext|> here", "a  <|endoftext|>", "<|endoftext|>", "x<|endoftext|>\n <|endoftext|> y  z", "no special <|endoftex|> one", "a  b\n\n c 's 't \u3000x \u00e9 ", "", None, " lead", "end ", "  ", "tab\t x\x85 y"]
+
+
+def test_token_files_have_the_librarys_special_tokens(spark):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(k, t) for k, t in enumerate(SPECIAL * 3)]
+    path = simple8b.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2)
+    got = {r.doc_id: list(r.ids) for r in simple8b.read_ids(spark, path, with_ids=True).collect()}
+    assert got == {k: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for k, t in rows}
+    assert got[0] == [3826, 220, 50256, 994, 2]
+
+
+@settings(max_examples=150, deadline=None)
+@given(t=st.lists(st.one_of(st.text(), st.text(alphabet="ab '\n\t .,!?sdrtmlv \u3000\x85\x1c\u00e91", max_size=80)), max_size=4))
+def test_encoder_like_the_library(t):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    flat, per = simple8b._encoder(path, public_tokenizers.PATTERN)(t)
+    want = [_library(path).encode(x, add_special_tokens=False).ids for x in t]
+    assert per.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+
+
 # 5
 def test_style_tree_removes_what_a_site_repeats(spark):
     body = "<html><body><div class=x1><p>Menu Home About</p></div><div class=y><p>{}</p><p>{}</p></div><div class=z>All rights &copy; kept</div></body></html>"
