@@ -12,14 +12,15 @@ from ..functions import text as T
 CHUNK = 256
 
 
-def located(d: DataFrame, text_col: str, pattern: str) -> DataFrame:
+def located(d: DataFrame, text_col: str, pattern: str | Column) -> DataFrame:
     """d with an array column `found` of (start, end, v, before, after): a pattern's matches, and the characters next to them.
 
     Positions are sums of the lengths of matches and of the gaps between them. The arrays are columns of their own, each
     used more than once, so that no expression of a whole text is evaluated per match.
     """
     t = F.col(text_col)
-    d = d.withColumn("_m", F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).withColumn("_g", F.split(t, pattern, -1))
+    p = F.lit(pattern) if isinstance(pattern, str) else pattern
+    d = d.withColumn("_m", F.regexp_extract_all(t, p, F.lit(0))).withColumn("_g", F.split(t, p, -1))
     d = d.withColumn("_l", F.transform("_m", lambda m, i: F.length(m) + F.length(F.get(F.col("_g"), i))))
     n = F.size("_l")
     total = lambda k: F.aggregate(F.slice("_l", k * CHUNK + 1, CHUNK), F.lit(0), lambda a, x: a + x)
