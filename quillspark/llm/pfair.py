@@ -15,11 +15,13 @@ by the number of sources, at most MOST_SOURCES (more raise an error).
 
 Defined cases: null source is a source of its own; null doc_id sorts first; rows equal in doc_id and text follow one
 another; weights name sources that are absent: they get no slots; sources without a weight raise an error; empty table:
-empty result; other columns are kept by `order` and not read by `places`.
+empty result; other columns are kept by `order` and not read by `places`. Rows equal in doc_id and source have places of
+their own (which of them has which is open).
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-MOST_SOURCES, NULL = 1000, "\x00null"
+MOST_SOURCES, MOST_CUTS, NULL = 1000, 1_000_000, "\x00null"
 
 
 def sizes(docs: DataFrame, source_col: str = "source") -> dict[str, int]:
@@ -113,13 +115,76 @@ def _placed(d: DataFrame, plan: DataFrame, grid: int, block: int, lanes: int, se
     return d.select("*", (base + F.col("_slot")).alias("slot"), F.expr(f"_at % {block}").alias("place"), (base + F.col("_r")).alias("release"), (base + F.col("_d")).alias("deadline"))
 
 
+def _preimages(spark, parts: int) -> list[int]:
+    """For each partition a number that hash partitioning sends there, so that partitions follow one another in order."""
+    found: dict[int, int] = {}
+    lo, step = 0, 16 * parts
+    while len(found) < parts:
+        rows = spark.range(lo, lo + step).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p"), "id").groupBy("p").agg(F.min("id").alias("id")).collect()
+        for r in rows:
+            found.setdefault(r.p, r.id)
+        lo += step
+    return [found[p] for p in range(parts)]
+
+
 def order(docs: DataFrame, slots: dict[str, int], block: int = 16, lanes: int = 512, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """All rows and columns of docs, range-partitioned and sorted by their place in the mixture."""
-    cols = docs.columns
-    d = docs.select(F.struct(*[F.col(c) for c in cols]).alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col), F.lit(NULL)).alias("s"))
-    # the window sorts keys, not texts: places are found without the rows and joined to them
-    keyed = saved(_placed(d.select("doc_id", "s"), schedule(docs.sparkSession, slots), sum(slots.values()), block, lanes, seed).groupBy("doc_id", "s").agg(F.min(F.struct("slot", "place")).alias("at")), "places")
-    both = d.alias("a").join(keyed.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.s") == F.col("b.s")))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = both.select("row", F.col("at.slot").alias("slot"), F.col("at.place").alias("place")).repartitionByRange(parts, "slot", "place").sortWithinPartitions("slot", "place")
+    """All rows and columns of docs, in partitions by ranges of slots and sorted by their place in the mixture.
+
+    Whole rows are shuffled once. The slots in use are cut into even ranges, one a partition (fewer, if sources x ranges would
+    be more than MOST_CUTS). A range begins in a source at a row of known number, inside a lane of known size: that row's key
+    is looked up among the keys of such lanes, and each row knows its range by its lane and key before it moves. Rows equal
+    in doc_id and source are numbered one after another but stay in one partition, where the last of them begins a range.
+    """
+    spark, cols = docs.sparkSession, docs.columns
+    grid = sum(slots.values())
+    key = F.xxhash64(F.col(id_col), F.lit(seed))
+    d = docs.select(F.struct(*[F.col(c) for c in cols]).alias("row"), F.coalesce(F.col(source_col), F.lit(NULL)).alias("s"), F.pmod(key, F.lit(lanes)).alias("lane"), F.struct(key.alias("key"), F.col(id_col).alias("id")).alias("k"))
+    small = d.select("s", "lane", "k")
+    # a row per lane of a source, at most `lanes` x MOST_SOURCES
+    size = {(r.s, r.lane): r.n for r in small.groupBy("s", "lane").agg(F.count("*").alias("n")).collect()}
+    before: dict[str, list[int]] = {s: [0] for s, _ in size}
+    for s, upto in before.items():
+        for k in range(lanes):
+            upto.append(upto[-1] + size.get((s, k), 0))
+    if missing := set(before) - set(slots):
+        raise ValueError(f"a source has no weight: {sorted(missing)[:3]}")
+    at: dict[str, list[int]] = {s: [] for s in slots}
+    for r in schedule(spark, slots).orderBy("slot").collect():
+        at[r.source].append(r.slot)
+    last = max((grid * ((u[-1] - 1) // block // slots[s]) + at[s][(u[-1] - 1) // block % slots[s]] for s, u in before.items()), default=0)
+    ranges = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_CUTS // max(len(before), 1)))
+    width = last // ranges + 1
+    known, wanted = [], []
+    for s, upto in before.items():
+        # the numbers of the rows that begin ranges; of ranges that begin at one row the others are empty
+        first: dict[int, int] = {}
+        for b in range(ranges):
+            period, rest = divmod(b * width, grid)
+            first[block * (period * slots[s] + bisect.bisect_left(at[s], rest))] = b
+        marks = sorted(first)
+        for k in range(lanes):
+            if upto[k] < upto[k + 1]:
+                known.append((s, k, upto[k], first[marks[bisect.bisect_right(marks, upto[k]) - 1]]))
+                inside = marks[bisect.bisect_right(marks, upto[k]) : bisect.bisect_left(marks, upto[k + 1])]
+                if inside:
+                    wanted.append((s, k, [(x - upto[k] + 1, first[x]) for x in inside]))
+    looked = spark.createDataFrame(wanted, "s string, lane long, w array<struct<n:int,b:int>>")
+    order_in = Window.partitionBy("s", "lane").orderBy("k")
+    cut = small.join(F.broadcast(looked), ["s", "lane"]).select("*", F.row_number().over(order_in).alias("_n"), F.rank().over(order_in).alias("_rank"))
+    cut = cut.withColumn("_b", F.get(F.filter("w", lambda x: x["n"] == F.col("_n")), F.lit(0))["b"]).where("_b is not null")
+    # rows equal to one that begins a range go there with it
+    cut = cut.groupBy("s", "lane", "k").agg(F.max("_b").alias("b"), F.first("_rank").alias("rank"))
+    cut = cut.groupBy("s", "lane").agg(F.sort_array(F.collect_list(F.struct("k", "b", "rank"))).alias("cuts"))
+    table = spark.createDataFrame(known, "s string, lane long, before long, b0 int").join(saved(cut, "cuts"), ["s", "lane"], "left")
+    d = d.join(F.broadcast(table), ["s", "lane"])
+    d = d.withColumn("_x", F.get(F.reverse(F.filter("cuts", lambda x: x["k"] <= F.col("k"))), F.lit(0)))
+    d = d.select("row", "s", "lane", "k", F.coalesce("_x.b", "b0").alias("b"), (F.col("before") + F.coalesce(F.col("_x.rank") - 1, F.lit(0))).alias("_from"))
+    there = spark.createDataFrame(list(enumerate(_preimages(spark, ranges))), "b int, to int")
+    # the window needs no further shuffle: its keys begin with that of the partitioning
+    d = d.join(F.broadcast(there), "b").drop("b").repartition(ranges, "to")
+    d = d.withColumn("_at", F.col("_from") + F.row_number().over(Window.partitionBy("to", "s", "lane", "_from").orderBy("k")) - 1).withColumn("i", F.expr(f"_at div {block}"))
+    plan = spark.createDataFrame([(s, slots[s], at[s]) for s in sorted(slots)], "s string, _w long, _slots array<long>")
+    d = d.join(F.broadcast(plan), "s")
+    slot = F.expr("i div _w") * grid + F.get("_slots", F.expr("cast(i % _w as int)"))
+    out = d.select("row", slot.alias("slot"), F.expr(f"_at % {block}").alias("place")).sortWithinPartitions("slot", "place")
     return out.select(*[F.col("row")[c].alias(c) for c in cols])

@@ -15,6 +15,7 @@ import tiktoken
 from compare import connect, same
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillspark.llm import bpe, compression, cws, disclosure, minhash, pfair, queries, simple8b, styletree
@@ -138,6 +139,19 @@ def test_pfair_places(spark, small_dir):
     assert all(r.release <= r.slot < r.deadline for r in got)
 
 
+def test_order_is_that_of_the_places(spark, small_dir):
+    """Partition by partition, rows stand where places() puts them; of repeated rows none is lost."""
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "source", F.lit("x").alias("slot"))
+    docs = docs.unionByName(spark.createDataFrame([(None, "src1", "z"), (7_000, None, "y"), (7_001, None, "y")], docs.schema)).repartition(3)
+    again = docs.unionByName(spark.createDataFrame([(5_000, None, "y")] * 30 + [(3, "src3", "z")] * 3, docs.schema))
+    for grid, block in ((60, 3), (400, 1)):
+        slots = pfair.slots_of(pfair.tempered(pfair.sizes(docs)), grid)
+        out = pfair.order(docs, slots, block)
+        assert out.columns == docs.columns
+        assert [(r.doc_id, r.source) for r in out.collect()] == [(r.doc_id, r.source) for r in pfair.places(docs, slots, block).orderBy("slot", "place").collect()]
+    assert Counter(map(tuple, pfair.order(again, slots, 1).collect())) == Counter(map(tuple, again.collect()))
+
+
 # 4
 @lru_cache
 def _library(path):
