@@ -8,9 +8,10 @@ agree: with M = 24, R = 4 a pair at similarity 0.85 is missed with probability 6
 
 1. A node joins tables only with the collections it shares with another node; most nodes have none and stop here.
 2. Over a ring of M tables, each bucket's smallest node is compared with the others; links make components.
-3. Over all tables, only buckets that still hold several components are looked at: first against some hubs, then all
-   pairs of nodes in different components. Pairs inside a component would change nothing. So no link that could join
-   two components is lost, and a group of copies or near copies is never expanded into all its pairs.
+3. Over all tables, only buckets that still hold several components are looked at: first against some hubs; the nodes that
+   are left then meet by the rare items of their full sets, which loses no link, and only nodes of different components
+   are paired. Pairs inside a component would change nothing. So a group of copies or near copies is never expanded into
+   all its pairs, nor is a family of texts that share a bucket without being similar enough.
 A pair is made only if sizes and odd sketches allow the similarity: a sketch has a bit for each of ODD buckets of hashes,
 whether an odd number fall there, so two differ in at most as many bits as the sets in members. This loses no link.
 
@@ -33,6 +34,8 @@ from .common import pick, saved, small_batches
 from .graph import components
 
 M, R, HUBS, ODD = 24, 4, 2, 512
+#: Ids of documents that are broadcast (16 bytes each, or as many as a longer id has).
+MOST_IDS = 2_000_000
 _rng = np.random.default_rng(20240611)
 _WORD = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _PERM = _rng.integers(0, 1 << 63, (M * R), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -48,7 +51,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles."""
-    if len(_words) > 500_000:
+    if len(_words) > 200_000:
         _words.clear()
     out = []
     for t in texts:
@@ -137,7 +140,13 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of distinct (a, b), those with 100 * intersection >= percent * union, on the full sets."""
+    """Of distinct (a, b), those with 100 * intersection >= percent * union, on the full sets.
+
+    Only sets of nodes in pairs are shuffled; which these are is broadcast if they are few.
+    """
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = saved(named, "named")
+    sets = sets.join(F.broadcast(named) if named.count() <= MOST_IDS else named, "node", "left_semi")
     a, b = sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), sets.select(F.col("node").alias("b"), F.col("items").alias("ib"))
     both = pairs.select("a", "b").join(a, "a").join(b, "b")
     common = F.size(F.array_intersect("ia", "ib")).cast("long")
@@ -153,6 +162,21 @@ def _near(percent: int):
     return (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent) & ((F.col("n") + F.col("hub_n")) * (100 - percent) >= differ * (100 + percent))
 
 
+def _rare(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """left (node, n, odd, comp) with item: of each node's set, the items by which it meets every set similar enough.
+
+    Sets of n items that are similar enough share percent * n / 100 of them at least, so not all they share is among the last
+    of either in one order of all items; the first n - ceil(percent * n / 100) + 1 suffice. Rarest come first, those of one
+    node alone (which meet nothing) before all: members of a family that differ in items of their own keep few or none.
+    """
+    each = left.select("node").join(sets, "node").select("node", F.explode("items").alias("item"))
+    often = saved(each.groupBy("item").agg(F.count("*").alias("f")).where("f > 1"), "often")
+    own = each.join(often, "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("x"))
+    keep = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1 - (F.col("n") - F.size("x"))
+    own = left.join(own, "node").where(keep > 0).withColumn("x", F.slice("x", F.lit(1), F.greatest(keep, F.lit(0)).cast("int")))
+    return saved(own.select("node", "n", "odd", "comp", F.explode("x.item").alias("item")), "rare")
+
+
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (node, comp) after links (a, b) between nodes."""
     la, lb = labels.select(F.col("node").alias("a"), F.col("comp").alias("x")), labels.select(F.col("node").alias("b"), F.col("comp").alias("y"))
@@ -182,8 +206,10 @@ def classes(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str = "d
     ring = shared.select("node", "n", "odd", F.explode(F.transform(F.sequence(F.lit(1), F.size("us")), lambda i: F.xxhash64(F.element_at("us", i), F.element_at("us", F.when(i == F.size("us"), 1).otherwise(i + 1))))).alias("key"))
     hubs = saved(ring.groupBy("key").agg(F.min(F.struct("node", "n", "odd")).alias("h"), F.count("*").alias("k")).where("k > 1").select("key", F.col("h.node").alias("a"), F.col("h.n").alias("hub_n"), F.col("h.odd").alias("hub_odd")), "hubs")
     pairs = saved(ring.join(hubs, "key").where(F.col("a") != F.col("node")).where(_near(percent)).select("a", F.col("node").alias("b")).distinct(), "pairs")
-    wanted = reps.join(shared.select("node"), "node", "left_semi").select(F.col("doc_id").alias("want"))
-    texts = d.join(wanted.distinct(), F.col("doc_id").eqNullSafe(F.col("want")), "left_semi")
+    # texts are shuffled only if there are too many nodes with a table to broadcast their ids
+    wanted = saved(reps.join(shared.select("node"), "node", "left_semi").select(F.col("doc_id").alias("want")).distinct(), "wanted")
+    few = wanted.count() <= MOST_IDS
+    texts = d.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("want")), "left_semi")
     sets = saved(full_sets(texts, width).groupBy("node").agg(F.first("items").alias("items")), "sets")
     labels = shared.select("node", F.col("node").alias("comp"))
     links = saved(_confirm(pairs, sets, percent), "links")
@@ -199,8 +225,9 @@ def classes(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str = "d
             hubs = saved(rows.groupBy("key").agg(F.min_by(F.struct("node", "n", "odd", "comp"), F.xxhash64("node", F.lit(turn))).alias("h")).select("key", F.col("h.node").alias("a"), F.col("h.n").alias("hub_n"), F.col("h.odd").alias("hub_odd"), F.col("h.comp").alias("hub_comp")), "hubs")
             found = rows.join(hubs, "key").where(F.col("comp") != F.col("hub_comp"))
         else:
-            other = rows.select("key", F.col("node").alias("a"), F.col("n").alias("hub_n"), F.col("odd").alias("hub_odd"), F.col("comp").alias("hub_comp"))
-            found = rows.join(other, "key").where((F.col("comp") != F.col("hub_comp")) & (F.col("node") < F.col("a")))
+            left = _rare(rows.select("node", "n", "odd", "comp").distinct(), sets, percent)
+            other = left.select("item", F.col("node").alias("a"), F.col("n").alias("hub_n"), F.col("odd").alias("hub_odd"), F.col("comp").alias("hub_comp"))
+            found = left.join(other, "item").where((F.col("comp") != F.col("hub_comp")) & (F.col("node") < F.col("a")))
         new = found.where(_near(percent)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         new = saved(new.join(tested, ["a", "b"], "left_anti"), "pairs")
         links = saved(_confirm(new, sets, percent), "links")
