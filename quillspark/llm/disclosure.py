@@ -4,14 +4,15 @@ Protected entities are e-mail addresses, IP addresses, card numbers and phone nu
 A term is a run of letters and digits in lower case. Over the whole corpus, n_e documents have entity e, n_et of them have
 term t too, anywhere outside their entities, df_t have t anywhere, N are all. IC(e) = -ln(n_e / N) is what e is worth,
 PMI(e; t) = IC(e) + ln(n_et / df_t) is what t tells of it. t discloses e if PMI >= alpha * IC, however few documents have
-e: a term of those documents alone tells all of it. Disclosing terms are spans of kind `term` in every text that has them;
-sanitise() generalises entities to their kind and removes or generalises terms.
+e: a term of those documents alone tells all of it. With support = z > 0, the lower bound of the share n_et / df_t, z standard
+deviations below (Wilson), stands for the share, so that one document of two or three with t tells little. Disclosing terms
+are spans of kind `term` in every text that has them; sanitise() generalises entities to their kind and terms to [TERM].
 
-Positions: a pattern's matches and the gaps between them, whose lengths add up. Patterns are possessive or anchored to the
+Positions: a pattern's matches and the gaps between them, whose lengths are summed in groups. Patterns are possessive or anchored to the
 start of a run where that changes no match, so that no text makes them quadratic or deep. As n_et <= n_e, a term of more
 than n_e^alpha * N^(1 - alpha) documents discloses no e: it goes before pairs are made. Entities of the same documents have
 the same counts, so one of them stands for all. Terms looked for in the corpus are broadcast if they are counted to be at
-most MOST_TERMS; else they are joined by shuffle.
+most MOST_TERMS, their hashes (16 bytes each) up to MOST_HASHES, documents' hits if they are as few and have at most MOST_BYTES; else they are joined by shuffle.
 
 Defined cases: null text is empty; no finds: counts 0 and the digest of the empty string; repeated rows give repeated
 results and count as documents; null doc_id is an id like another; empty table: empty result; other columns: kept by
@@ -23,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.spans import CHUNK, located
 from .common import pick, saved, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
@@ -35,7 +37,9 @@ FIND = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-ALPHA, MOST_TERMS = 0.9, 200_000
+ALPHA, MOST_TERMS, MOST_HASHES, MOST_BYTES = 0.9, 200_000, 4_000_000, 64 << 20
+#: Code points of a block of a text that is rewritten.
+BLOCK = 1024
 NOT_TERM = r"[^\p{L}\p{N}]+"
 
 
@@ -64,31 +68,30 @@ def _valid(kind: str, m: Column) -> Column:
     return n.between(8, 15)
 
 
-def _located(d: DataFrame, kind: str) -> DataFrame:
-    """Adds the column kind: array of (start, end, value) of the valid matches, in order, in code points."""
-    t = F.col("text")
-    d = d.withColumn("_m", F.when(_maybe(kind, t), F.regexp_extract_all(t, F.lit(FIND[kind]), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    d = d.withColumn("_g", F.when(F.size("_m") > 0, F.split(t, FIND[kind], -1)).otherwise(F.array().cast("array<string>")))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<s:bigint,e:bigint,v:string>>").alias("out"))
+def _found(d: DataFrame, kind: str, text: Column, pattern: str | Column) -> DataFrame:
+    """Adds the column kind: array of (s, e, v) of a pattern's matches in text, in code points."""
+    d = located(d.withColumn("_t", text), "_t", pattern)
+    spans = F.transform("found", lambda x: F.struct(x["start"].cast("long").alias("s"), x["end"].cast("long").alias("e"), x["v"].alias("v")))
+    return d.withColumn(kind, spans).drop("_t", "found")
+
+
+def _all_found(d: DataFrame) -> DataFrame:
+    """Adds the columns of all kinds: the valid matches in the column text."""
 
-    def step(acc: Column, i: Column) -> Column:
-        m = F.get("_m", i)
-        s = acc["at"] + F.length(F.get("_g", i))
-        e = s + F.length(m)
-        return F.struct(e.cast("long").alias("at"), F.array_append(acc["out"], F.struct(s.cast("long").alias("s"), e.cast("long").alias("e"), m.alias("v"))).alias("out"))
+    def valid(kind: str):
+        return lambda x: _valid(kind, x["v"])
 
-    found = F.aggregate(F.sequence(F.lit(0), F.size("_m") - 1), begin, step, lambda acc: acc["out"])
-    d = d.withColumn("_f", F.when(F.size("_m") > 0, found).otherwise(begin["out"]))
-    return d.withColumn(kind, F.filter("_f", lambda x: _valid(kind, x["v"]))).drop("_m", "_g", "_f")
+    for kind in KINDS:
+        d = _found(d, kind, F.when(_maybe(kind, F.col("text")), F.col("text")).otherwise(""), FIND[kind])
+        d = d.withColumn(kind, F.filter(kind, valid(kind)))
+    return d
 
 
 def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, h (hash of the text), text, and email, ip, card, phone: arrays of (s, e, v)."""
     d = pick(docs, doc_id=id_col, text=text_col).select("doc_id", text_or_empty(F.col("text")).alias("text"))
     d = d.withColumn("h", F.xxhash64("text"))
-    for kind in KINDS:
-        d = _located(d, kind)
-    return d
+    return _all_found(d)
 
 
 def _terms(x: Column) -> Column:
@@ -118,11 +121,17 @@ def _outside() -> Column:
     return F.when(F.size(F.concat(*KINDS)) > 0, _terms(rest)).otherwise(F.array().cast("array<string>"))
 
 
-def find(docs: DataFrame, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h, and email, ip, card, phone, term: arrays of (s, e, v) for each row."""
-    d = entities(docs, id_col, text_col)
+def _lower(k: Column, n: Column, z: float) -> Column:
+    """Lower bound of a share k of n, z standard deviations below it; the share itself if z is 0."""
+    p, zz = k / n, z * z
+    return (p + zz / (2 * n) - z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
+
+
+def disclosing(docs: DataFrame, alpha: float = ALPHA, support: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
+    """doc_id, h, ts (disclosing terms in it) of each distinct text that has any; None if there are none."""
     # a row's number is read back as it was written
-    base = saved(d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "h", *KINDS, _mentioned().alias("es"), _outside().alias("ts")), "entities")
+    base = entities(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), _mentioned().alias("es"), _outside().alias("ts"))
+    base = saved(base.where(F.size("es") > 0), "entities")
     seen = base.select("row", F.explode("es").alias("e"))
     total = float(max(docs.count(), 1))
     n_e = seen.groupBy("e").agg(F.count("*").alias("n_e"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("rows"))
@@ -135,7 +144,8 @@ def find(docs: DataFrame, alpha: float = ALPHA, id_col: str = "doc_id", text_col
     ic = -F.log(F.col("n_e") / F.lit(total))
 
     def told_by(df: str) -> Column:
-        return (F.log(F.least(F.col("n_et") / F.col(df), F.lit(1.0))) + ic >= alpha * ic) & (ic > 0)
+        k = F.least(F.col("n_et"), F.col(df)).cast("double")
+        return (F.log(F.greatest(_lower(k, F.col(df).cast("double"), support), F.lit(1e-300))) + ic >= alpha * ic) & (ic > 0)
 
     # documents with entities that have t are some of those that have it: a bound that drops what cannot disclose
     held = base.select("row", F.explode("ts").alias("t"))
@@ -144,42 +154,54 @@ def find(docs: DataFrame, alpha: float = ALPHA, id_col: str = "doc_id", text_col
     rare = held.join(F.broadcast(near_df) if few else near_df, "t")
     pairs = rare.join(members, "row").where(F.col("near_df") <= most).groupBy("e", "t").agg(F.count("*").alias("n_et"), F.first("near_df").alias("near_df"), F.first("n_e").alias("n_e"))
     # of pairs with the same term and as frequent an entity, the one with most documents tells most
-    pairs = pairs.where(told_by("near_df")).groupBy("t", "n_e").agg(F.max("n_et").alias("n_et"))
-    pairs = saved(pairs, "pairs")
-    none = F.array().cast("array<struct<s:bigint,e:bigint,v:string>>").alias("term")
+    pairs = saved(pairs.where(told_by("near_df")).groupBy("t", "n_e").agg(F.max("n_et").alias("n_et")), "pairs")
     terms = saved(pairs.select("t").distinct(), "terms")
-    if terms.isEmpty():
-        return base.select("doc_id", "h", *KINDS, none)
+    n_terms = terms.count()
+    if not n_terms:
+        return None
+    # one pass over all texts, with the candidates alone: a row for each row of docs and candidate that it has
     text = pick(docs, doc_id=id_col, text=text_col).select("doc_id", text_or_empty(F.col("text")).alias("text"))
-
-    def having(wanted: DataFrame, *cols: str) -> DataFrame:
-        """A row for each row of text and term of wanted that it has."""
-        few = wanted.count() <= MOST_TERMS
-        words = text.select(*[F.xxhash64("text").alias("h") if c == "h" else F.col(c) for c in cols], F.explode(_terms(F.col("text"))).alias("t"))
-        if few:
-            return words.join(F.broadcast(wanted), "t")
-        return words.join(wanted, "t")
-
-    df = having(terms).groupBy("t").agg(F.count("*").alias("df")) if terms.count() <= MOST_TERMS else text.select(F.explode(_terms(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    told = pairs.join(saved(df, "df"), "t").where(told_by("df"))
-    told = saved(told.select("t").distinct(), "disclosing")
-    if told.isEmpty():
-        return base.select("doc_id", "h", *KINDS, none)
-    hits = saved(having(told, "doc_id", "h").groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("t")).alias("ts")), "hits")
-    here = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
-    with_text = text.withColumn("h", F.xxhash64("text")).alias("a").join(hits.alias("b"), here("a", "b")).select("a.doc_id", "a.h", "text", "ts")
+    words = text.select("doc_id", F.xxhash64("text").alias("h"), F.explode(_terms(F.col("text"))).alias("t"))
+    if n_terms <= MOST_HASHES:
+        # by hash first: a long a term is broadcast, however long the terms; then the few words left by themselves
+        words = words.join(F.broadcast(terms.select(F.xxhash64("t").alias("x")).distinct()), F.xxhash64("t") == F.col("x"), "left_semi")
+    having = saved(words.join(F.broadcast(terms) if n_terms <= MOST_TERMS else terms, "t"), "having")
+    df = having.groupBy("t").agg(F.count("*").alias("df"))
+    told = saved(pairs.join(df, "t").where(told_by("df")).select("t").distinct(), "disclosing")
+    n_told = told.count()
+    if not n_told:
+        return None
+    hits = having.join(F.broadcast(told) if n_told <= MOST_TERMS else told, "t")
+    return saved(hits.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("t")).alias("ts")), "hits")
+
+
+def _with_spans(docs: DataFrame, keep: list[Column], alpha: float, support: float, id_col: str, text_col: str) -> DataFrame:
+    """keep, doc_id, text, h, and email, ip, card, phone, term: arrays of (s, e, v), for each row.
+
+    Texts are shuffled only if there are more hits than can be broadcast.
+    """
+    hits = disclosing(docs, alpha, support, id_col, text_col)
+    d = docs.select(*keep, F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")).withColumn("h", F.xxhash64("text"))
+    if hits is None:
+        d = d.withColumn("ts", F.array().cast("array<string>"))
+    else:
+        size = hits.agg(F.count("*").alias("n"), F.sum(F.aggregate("ts", F.lit(0).cast("long"), lambda a, t: a + 24 + F.octet_length(t))).alias("b")).first()
+        small = size.n <= MOST_TERMS and (size.b or 0) <= MOST_BYTES
+        b = (F.broadcast(hits) if small else hits).select(F.col("doc_id").alias("_i"), F.col("h").alias("_h"), "ts")
+        d = d.join(b, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h")), "left").drop("_i", "_h")
+    d = _all_found(d)
     # terms are letters and digits: an alternation of them needs no quoting
-    p = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("ts", "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    found = with_text.select("doc_id", "h", F.regexp_extract_all("text", p, F.lit(0)).alias("_m"), F.split("text", p, -1).alias("_g"))
-    # lengths up to a match: sums over the row's own arrays, made once a row
-    begin = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
-    fold = F.aggregate(F.arrays_zip(F.col("_m").alias("m"), F.slice("_g", F.lit(1), F.size("_m")).alias("g")), begin, lambda acc, x: F.struct((acc["at"] + F.length(x["g"]) + F.length(x["m"])).cast("long").alias("at"), F.array_append(acc["out"], F.struct((acc["at"] + F.length(x["g"])).cast("long").alias("s"), (acc["at"] + F.length(x["g"]) + F.length(x["m"])).cast("long").alias("e"), x["m"].alias("v"))).alias("out")), lambda acc: acc["out"])
-    spans = found.where(F.size("_m") > 0).select("doc_id", "h", fold.alias("term")).groupBy("doc_id", "h").agg(F.first("term").alias("term"))
-    spans = saved(spans, "term-spans")
-    out = base.alias("a").join(spans.alias("b"), here("a", "b"), "left").select("a.doc_id", "a.h", *[f"a.{k}" for k in KINDS], F.coalesce("b.term", none).alias("term"))
+    some = F.size(F.coalesce("ts", F.array().cast("array<string>"))) > 0
+    p = F.when(some, F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("ts", "|"), F.lit(r")(?![\p{L}\p{N}])"))).otherwise(F.lit("(?!)"))
+    d = _found(d.withColumn("_p", p), "term", F.when(some, F.col("text")).otherwise(""), F.col("_p")).drop("_p", "ts")
     # a term inside an entity is the entity's
     whole = F.concat(*KINDS)
-    return out.withColumn("term", F.filter("term", lambda x: ~F.exists(whole, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"]))))
+    return d.withColumn("term", F.filter("term", lambda x: ~F.exists(whole, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"]))))
+
+
+def find(docs: DataFrame, alpha: float = ALPHA, support: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, h, and email, ip, card, phone, term: arrays of (s, e, v) for each row."""
+    return _with_spans(docs, [], alpha, support, id_col, text_col).select("doc_id", "h", *KINDS, "term")
 
 
 def _told(kind: str) -> Column:
@@ -201,24 +223,39 @@ def _as(name: str):
     return lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(name).alias("r"))
 
 
-def sanitise(docs: DataFrame, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text_col rewritten: entities become [EMAIL], [IP], [CARD], [PHONE], disclosing terms [TERM]. Null stays null."""
-    found = find(docs, alpha, id_col, text_col)
-    tagged = [F.transform(k, _as(f"[{k.upper()}]")) for k in (*KINDS, "term")]
-    spans = found.select("doc_id", "h", F.array_sort(F.concat(*tagged)).alias("spans")).where(F.size("spans") > 0)
-    spans = saved(spans.groupBy("doc_id", "h").agg(F.first("spans").alias("spans")), "spans")
-    cols = docs.columns
-    d = docs.select(F.struct(*[F.col(c) for c in cols]).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_or_empty(F.col(text_col))).alias("h"))
-    j = d.alias("a").join(spans.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.h")), "left").select("row", "text", "spans")
-    t = F.col("text")
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+def sanitise(docs: DataFrame, alpha: float = ALPHA, support: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with text_col rewritten: entities become [EMAIL], [IP], [CARD], [PHONE], disclosing terms [TERM]. Null stays null.
 
-    def step(acc: Column, x: Column) -> Column:
-        # a span that begins inside an earlier one adds nothing but its rest
-        part = F.array(F.substring(t, (acc["at"] + 1).cast("int"), (x["s"] - acc["at"]).cast("int")), x["r"])
-        new = F.when(x["s"] >= acc["at"], F.concat(acc["out"], part)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), new.alias("out"))
-
-    text = F.aggregate("spans", begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, (acc["at"] + 1).cast("int"), F.lit(2147483647))))
-    j = j.withColumn("new", F.when(F.col("spans").isNull(), t).otherwise(text))
-    return j.select(*[F.col("new").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in cols])
+    A text is cut into blocks of BLOCK code points in one pass, so that a span's neighbourhood is found inside its block.
+    """
+    cols = docs.columns
+    d = _with_spans(docs, [F.struct(*[F.col(c) for c in cols]).alias("row")], alpha, support, id_col, text_col)
+    d = d.withColumn("_s", F.array_sort(F.concat(*[F.transform(k, _as(f"[{k.upper()}]")) for k in (*KINDS, "term")])))
+    some = F.size("_s") > 0
+    d = d.withColumn("_e", F.transform("_s", lambda x: x["e"]))
+    # where all earlier spans end: of earlier groups of CHUNK, then inside the group
+    top = lambda k: F.array_max(F.slice("_e", k * CHUNK + 1, CHUNK))
+    groups = F.when(some, F.sequence(F.lit(0), F.floor((F.size("_s") - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    d = d.withColumn("_m", F.aggregate(groups, F.array(F.lit(0).cast("long")), lambda acc, k: F.array_append(acc, F.greatest(F.element_at(acc, -1), top(k)))))
+
+    def placed(x: Column, i: Column) -> Column:
+        g = F.floor(i / CHUNK).cast("int")
+        p = F.greatest(F.get("_m", g), F.coalesce(F.array_max(F.slice("_e", g * CHUNK + 1, i - g * CHUNK)), F.lit(0).cast("long")))
+        return F.struct(p.alias("p"), x["s"].alias("s"), x["e"].alias("e"), x["r"].alias("r"))
+
+    # a span that begins inside earlier ones adds nothing but its rest
+    d = d.withColumn("_w", F.filter(F.transform("_s", placed), lambda x: x["e"] > x["p"]))
+    d = d.withColumn("_b", F.when(some, F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))).otherwise(F.array().cast("array<string>")))
+
+    def block(t: Column, i: Column) -> Column:
+        lo = (i * BLOCK).cast("long")
+        hi = lo + BLOCK
+        mine = F.filter("_w", lambda x: (x["s"] < hi) & (x["e"] > lo))
+        # what stands before each span of the block, then what stands for it if it begins here; then the rest
+        cut = lambda a, b: F.substring(t, (a - lo + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+        parts = F.transform(mine, lambda x: F.concat(cut(F.greatest(x["p"], lo), x["s"]), F.when((x["s"] >= lo) & (x["s"] >= x["p"]), x["r"]).otherwise("")))
+        rest = F.least(F.array_max(F.transform(mine, lambda x: x["e"])), hi)
+        return F.when(F.size(mine) > 0, F.concat(F.array_join(parts, ""), cut(rest, hi))).otherwise(t)
+
+    new = F.when(F.col("row")[text_col].isNull(), F.lit(None)).when(some, F.array_join(F.transform("_b", block), "")).otherwise(F.col("text"))
+    return d.withColumn("_n", new).select(*[F.col("_n").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in cols])

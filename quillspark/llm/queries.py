@@ -20,7 +20,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return disclosure.digest(disclosure.find(_table(spark, sf_dir, "documents")))
+    return disclosure.digest(disclosure.find(_table(spark, sf_dir, "documents"), support=1.0))
 
 
 def op3_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:

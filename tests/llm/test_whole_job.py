@@ -1,9 +1,14 @@
 """What an operator must not leave out: parts of texts, pages, tokens and entities that a shorter way would not look at."""
 
 import base64
+import math
 import random
+import re
+from collections import Counter, defaultdict
 
-from quillspark.llm import compression, disclosure, styletree
+import pytest
+
+from quillspark.llm import compression, disclosure, minhash, styletree
 
 
 def _prose(n):
@@ -66,3 +71,98 @@ def test_style_tree_decides_inside_articles(spark):
     want = {k: f"Story {k} {own[k]}" for k in range(20)}
     # a page is never left empty
     assert got == want | {100 + k: "All there is on this host" for k in range(20)}
+
+
+# 2
+def _brute_terms(texts, spans_of, alpha, z):
+    """Spans of disclosing terms of each text, by the definition; spans_of: the entities' kind -> [(start, end)] of a text."""
+    n = len(texts)
+    docs_of, with_term, pair = defaultdict(set), defaultdict(set), Counter()
+    terms_of = lambda t: {w for w in re.split(r"[^\w]|_", t.lower()) if len(w) >= 2}
+    for k, t in enumerate(texts):
+        for w in terms_of(t):
+            with_term[w].add(k)
+        found, out, at = set(), [], 0
+        for kind, spans in spans_of(t).items():
+            for a, b in spans:
+                found.add(f"{kind}:" + (t[a:b].lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", t[a:b])))
+        for a, b in sorted(x for v in spans_of(t).values() for x in v):
+            out.append(t[at : max(a, at)])
+            at = max(at, b)
+        out.append(t[at:])
+        for e in found:
+            docs_of[e].add(k)
+            for w in terms_of("\n".join(out)):
+                pair[e, w] += 1
+    told = set()
+    for (e, w), k in pair.items():
+        if len(docs_of[e]) < n:
+            ic, df = -math.log(len(docs_of[e]) / n), len(with_term[w])
+            p = k / df
+            low = (p + z * z / (2 * df) - z * math.sqrt(p * (1 - p) / df + z * z / (4 * df * df))) / (1 + z * z / df)
+            if math.log(max(low, 1e-300)) + ic >= alpha * ic:
+                told.add(w)
+    out = []
+    for t in texts:
+        whole = [x for v in spans_of(t).values() for x in v]
+        runs = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", t) if m[0].lower() in told]
+        out.append([x for x in runs if not any(x[0] < b and a < x[1] for a, b in whole)])
+    return out
+
+
+@pytest.mark.parametrize("support", [0.0, 1.0])
+def test_terms_like_brute_force(spark, small_dir, support):
+    from test_operators import _spans
+
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text").collect())
+    # entities of several documents, and enough documents that one suffices
+    rows += [(10_000 + k, f"filler words number{k % 40} of row{k}" + (f" ask Zorba{k % 3} a@b.example" if k < 6 else "")) for k in range(1500)]
+    want = _brute_terms([t for _, t in rows], _spans, disclosure.ALPHA, support)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(x.s, x.e) for x in r.term] for r in disclosure.find(docs, support=support).select("doc_id", "term").collect()}
+    assert got == {i: w for (i, _), w in zip(rows, want, strict=True)}
+    assert any(want)
+    names = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
+    new = {r.doc_id: r.text for r in disclosure.sanitise(docs, support=support).collect()}
+    for (i, t), w in zip(rows, want, strict=True):
+        out, at = [], 0
+        for a, b, r in sorted([(a, b, names[k]) for k, v in _spans(t).items() for a, b in v] + [(a, b, "[TERM]") for a, b in w]):
+            if a >= at:
+                out += [t[at:a], r]
+            at = max(at, b)
+        assert new[i] == "".join(out) + t[at:]
+
+
+def test_many_and_overlapping_spans_of_a_text(spark):
+    texts = ["me@x.io 10.0.0.1 " * 700 + "end", "1.1.1." * 600 + "1@b.co tail", "x" * 1020 + " a.b@c.de " + "y" * 1020 + " +49 170 1234567", "\U0001f600 me@x.io " * 400]
+    out = {r.doc_id: r.text for r in disclosure.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), support=1.0).collect()}
+    # of two spans that begin together the shorter comes first, and the longer one's rest goes with it
+    assert out == {0: "[EMAIL] [IP] " * 700 + "end", 1: "[IP] tail", 2: "x" * 1020 + " [EMAIL] " + "y" * 1020 + " [PHONE]", 3: "\U0001f600 [EMAIL] " * 400}
+
+
+# 8
+def test_a_family_below_the_threshold_is_not_paired(spark, monkeypatch):
+    """Texts of one template, similarity about 0.8, without links: the rows of pairs stay in proportion to the texts."""
+    rng = random.Random(9)
+    n, words = 1200, 200
+    base = [f"t{k}" for k in range(words)]
+    rows = []
+    for k in range(n):
+        t = list(base)
+        for at in range(10, words, words // 4):
+            t[at] = f"u{k}x{at}"
+        rows.append((k, " ".join(t)))
+    # some links in the family and beside it
+    rows += [(n + k, rows[k][1] + " end") for k in range(0, 40, 4)] + [(2 * n, "alone " * 3), (2 * n + 1, " ".join(rng.choice(base) for _ in range(90)))]
+    made = []
+    confirm = minhash._confirm
+
+    def counted(pairs, sets, percent):
+        made.append(pairs.count())
+        return confirm(pairs, sets, percent)
+
+    monkeypatch.setattr(minhash, "_confirm", counted)
+    got = {r.doc_id: r.component_id for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()}
+    linked = {n + k: k for k in range(0, 40, 4)}
+    assert got == {i: linked.get(i, i) for i, _ in rows}
+    assert sum(made) < 100 * n
