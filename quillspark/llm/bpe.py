@@ -25,6 +25,8 @@ from .chunks import ChunkCache, pattern
 from .common import pick, small_batches
 
 NONE = np.int64(1 << 62)
+#: Chunks of texts whose ids a worker keeps.
+MOST = 200_000
 #: Signs that are pieces of their own after a word, whatever the contractions of the pattern.
 CLOSERS = frozenset(".,!?;:")
 
@@ -252,7 +254,7 @@ def _cache(path: str, pat: str) -> ChunkCache:
         size = np.fromiter(map(len, out), np.int64, len(out))
         return np.fromiter(chain.from_iterable(out), np.int32, int(size.sum())), size
 
-    return ChunkCache(encode, pat)
+    return ChunkCache(encode, pat, MOST)
 
 
 def encode(docs: DataFrame, ranks_path: str, pat: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
