@@ -33,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and what discloses it are generalised in the texts; n_chars follows."""
-    out = disclosure.sanitise(docs)
+    out = disclosure.sanitise(docs, support=1.0)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
