@@ -19,18 +19,24 @@ def in_quotes(text: Column, start: Column, end: Column) -> Column:
 def deletions(docs: DataFrame, phrases: list[str], seams: DataFrame, rule: str = "span.delete") -> DataFrame:
     """Patches that delete a phrase and one space after it, outside quotes, where the words that then meet are attested.
 
-    seams: left, right. A sentence start or a full stop on the right needs no attestation.
+    seams: left, right. A sentence start or a full stop on the right needs no attestation. A letter that a deletion at a
+    sentence start exposes becomes a capital, as part of the patch; no other letter changes.
     """
     found = S.literal_spans(docs, phrases).join(docs.select("doc_id", "text"), "doc_id")
     t = F.col("text")
     before = F.lower(t.substr(F.lit(1), F.col("start")))
-    after = F.lower(t.substr(F.col("end") + 1, F.lit(64)))
+    after = F.lower(t.substr(F.col("end") + 1, F.length(t)))
     left = F.regexp_extract(before, r"([\p{L}']+|[.,;:!?])\s*$", 1)
     right = F.regexp_extract(after, r"^\s*([\p{L}']+|[.,;:!?])", 1)
-    c = found.where(~in_quotes(t, F.col("start"), F.col("end"))).select("doc_id", "start", "end", left.alias("left"), right.alias("right"), (t.substr(F.col("end") + 1, F.lit(1)) == " ").alias("space"))
-    safe = (F.col("left") == "") | F.col("left").isin(".", "!", "?") | (F.col("right") == ".")
-    ok = c.where(safe).select("doc_id", "start", "end", "space").unionByName(c.where(~safe).join(seams.select("left", "right").distinct(), ["left", "right"], "left_semi").select("doc_id", "start", "end", "space"))
-    return ok.select("doc_id", "start", (F.col("end") + F.col("space").cast("int")).alias("end"), F.lit(rule).alias("rule"), F.lit("").alias("replacement"))
+    space = (t.substr(F.col("end") + 1, F.lit(1)) == " ").cast("int")
+    first = t.substr(F.col("end") + space + 1, F.lit(1))
+    c = found.where(~in_quotes(t, F.col("start"), F.col("end"))).select("doc_id", "start", (F.col("end") + space).alias("end"), left.alias("left"), right.alias("right"), first.alias("first"))
+    opens = (F.col("left") == "") | F.col("left").isin(".", "!", "?")
+    safe = opens | (F.col("right") == ".")
+    ok = c.where(safe).unionByName(c.where(~safe).join(seams.select("left", "right").distinct(), ["left", "right"], "left_semi").select(*c.columns))
+    exposed = opens & F.col("first").rlike(r"\p{Ll}")
+    end = F.col("end") + F.when(exposed, 1).otherwise(0)
+    return ok.select("doc_id", "start", end.alias("end"), F.lit(rule).alias("rule"), F.when(exposed, F.upper("first")).otherwise("").alias("replacement"))
 
 
 def substitutions(docs: DataFrame, pairs: dict[str, str], rule: str = "sub.apply") -> DataFrame:
@@ -43,15 +49,10 @@ def substitutions(docs: DataFrame, pairs: dict[str, str], rule: str = "sub.apply
     return found.where(~in_quotes(t, F.col("start"), F.col("end"))).select("doc_id", "start", "end", F.lit(rule).alias("rule"), kept.alias("replacement"))
 
 
-def recapitalised(text: Column) -> Column:
-    """The first letter of the text as a capital."""
-    return F.concat(F.upper(text.substr(1, 1)), text.substr(F.lit(2), F.length(text)))
-
-
 def fix(docs: DataFrame, delete: list[str], swap: dict[str, str], seams: DataFrame, passes: int = 2) -> DataFrame:
     """doc_id, text after `passes` passes of all patches, resolved and applied; the passes are unrolled in one plan."""
     d = docs.select("doc_id", "text")
     for _ in range(passes):
         patches = substitutions(d, swap).unionByName(deletions(d, delete, seams))
-        d = S.apply_patches(d, S.resolve(patches)).select("doc_id", recapitalised(F.col("fixed")).alias("text"))
+        d = S.apply_patches(d, S.resolve(patches)).select("doc_id", F.col("fixed").alias("text"))
     return d

@@ -74,13 +74,24 @@ def marker_density(docs: DataFrame, markers: list[str]) -> DataFrame:
     return docs.select("doc_id", F.round(rate(hit, F.size(T.metric_words(t)), 1000.0), 6).alias("marker_density"))
 
 
-def phrase_rate(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+def phrase_rate(docs: DataFrame, phrases: list[str] | DataFrame) -> DataFrame:
     """Occurrences of the phrases (words joined by spaces, overlapping ones count) per 1000 metric words.
 
-    phrases: phrase. Joined by n-gram, for the lengths present; the table is small by contract (a mined top list).
+    A list is looked up inside the row. A table (phrase) of any size is joined by n-gram, for lengths up to the longest.
     """
-    lengths = [r[0] for r in phrases.select(F.size(F.split("phrase", " ")).alias("n")).distinct().orderBy("n").collect()]
     d = docs.select("doc_id", T.metric_words(F.coalesce("text", F.lit(""))).alias("w"))
-    grams = F.concat(*[T.ngrams(F.col("w"), n) for n in lengths]) if lengths else F.array().cast("array<string>")
-    hits = d.select("doc_id", F.explode(grams).alias("phrase")).join(F.broadcast(phrases.select("phrase").distinct()), "phrase", "left_semi").groupBy("doc_id").agg(F.count("*").alias("k"))
+    if not isinstance(phrases, DataFrame):
+        wanted = sorted(set(phrases))
+        by_length = {n: [p for p in wanted if len(p.split(" ")) == n] for n in {len(p.split(" ")) for p in wanted}}
+        hits = F.lit(0)
+        for n, ps in sorted(by_length.items()):
+            hits = hits + F.size(F.filter(T.ngrams(F.col("w"), n), _one_of(ps)))
+        return d.select("doc_id", F.round(rate(hits, F.size("w"), 1000.0), 6).alias("phrase_rate"))
+    longest = phrases.agg(F.coalesce(F.max(F.size(F.split("phrase", " "))), F.lit(0))).first()[0]
+    grams = F.concat(*[T.ngrams(F.col("w"), n) for n in range(1, longest + 1)]) if longest else F.array().cast("array<string>")
+    hits = d.select("doc_id", F.explode(grams).alias("phrase")).join(phrases.select("phrase").distinct(), "phrase", "left_semi").groupBy("doc_id").agg(F.count("*").alias("k"))
     return d.join(hits, "doc_id", "left").select("doc_id", F.round(rate(F.coalesce("k", F.lit(0)), F.size("w"), 1000.0), 6).alias("phrase_rate"))
+
+
+def _one_of(values: list[str]):
+    return lambda x: x.isin(values)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,9 +89,15 @@ def midrank_auc(values: DataFrame) -> DataFrame:
 def split_assign(docs: DataFrame, strata: list[str]) -> DataFrame:
     """train, dev, holdout by sha256 order of the id in each stratum: below n * 70 / 100, n * 85 / 100, the rest."""
     h = F.sha2(F.col("doc_id").cast("string"), 256)
-    i = F.row_number().over(Window.partitionBy(*strata).orderBy(h, "doc_id")) - 1
-    n = F.count("*").over(Window.partitionBy(*strata))
-    d = docs.select("doc_id", *strata, i.alias("i"), n.alias("n"))
+    d = docs.select("doc_id", *strata, h.alias("h")).withColumn("lane", F.substring("h", 1, 3))
+    # lanes are ranges of the hash: 4,096 rows a stratum say how many rows stand before a lane and in all
+    w = Window.partitionBy(*strata)
+    lanes = d.groupBy(*strata, "lane").agg(F.count("*").alias("k"))
+    lanes = lanes.select(*strata, "lane", (F.sum("k").over(w.orderBy("lane")) - F.col("k")).alias("before"), F.sum("k").over(w).alias("n"))
+    inside = F.row_number().over(Window.partitionBy(*strata, "lane").orderBy("h", "doc_id")) - 1
+    here, there = d.withColumn("inside", inside).alias("a"), lanes.alias("b")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*strata, "lane")]
+    d = here.join(there, reduce(and_, same)).select("a.doc_id", *[f"a.{c}" for c in strata], (F.col("inside") + F.col("before")).alias("i"), "n")
     return d.select("doc_id", *strata, F.when(F.expr("i < n * 70 div 100"), "train").when(F.expr("i < n * 85 div 100"), "dev").otherwise("holdout").alias("split"))
 
 

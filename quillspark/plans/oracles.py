@@ -118,7 +118,7 @@ CASE WHEN s > 0 THEN round(((len(regexp_extract_all(t, '\\*\\*')) + len(regexp_e
     "phrase_rate": f"""WITH x AS (SELECT doc_id, {_k3(TX)} AS w FROM documents), y AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda q: q = 'the')) + len(list_filter(range(1, len(w)), lambda i: (w[i] || ' ' || w[i + 1]) IN ('of the', 'is the', 'de la'))) AS k FROM x)
 SELECT doc_id, CASE WHEN n > 0 THEN round(k * 1000.0 / n, 6) ELSE 0.0 END AS phrase_rate FROM y""",
     "tokenizer_sizes": f"SELECT doc_id, len(regexp_extract_all({_alow(STRAIGHT.replace('{x}', TX))}, '[a-z'']+|[.,;:!?]')) AS k1, len({_k2(TX)}) AS k2, len({_k3(TX)}) AS k3, len({_ws(TX)}) AS k6, strlen({TX}) AS bytes FROM documents",
-    "text_digest": f"""SELECT doc_id, sha256({TX}) AS sha256, trim(regexp_replace(lower(translate(substr({TX}, 1, 40), '_-', '  ')), '\\s+', ' ', 'g')) AS compound, upper(substr(lower(substr({TX}, 1, 20)), 1, 1)) || substr(lower(substr({TX}, 1, 20)), 2) AS capitalised, regexp_matches({TX}, '[.!?]["''’”)\\]]*\\s*$') AS ends_terminal FROM documents""",
+    "text_digest": f"""SELECT doc_id, sha256({TX}) AS sha256, sha256(trim(regexp_replace(lower(translate({TX}, '_-', '  ')), '\\s+', ' ', 'g'))) AS compound_sha256, sha256(upper(substr(lower({TX}), 1, 1)) || substr(lower({TX}), 2)) AS capitalised_sha256, regexp_matches({TX}, '[.!?]["''’”)\\]]*\\s*$') AS ends_terminal FROM documents""",
     "ngram_counts": f"WITH {CLASSED}, {_grams(2)} SELECT * FROM g WHERE a + b >= 5",
     "log_odds_top": f"WITH {CLASSED}, {_grams(1)}, {TOT}, {LOGODDS}, y AS (SELECT ngram, a, b, round(delta, 6) AS delta, round(delta / se, 6) AS z FROM z) SELECT *, 'a' AS side FROM (FROM y ORDER BY z DESC, ngram LIMIT 40) UNION ALL SELECT *, 'b' AS side FROM (FROM y ORDER BY z, ngram LIMIT 40)",
     "ratio_top": f"""WITH {CLASSED}, {_grams(2)}, {_grams(1, name='u')}, {TOT}, f AS (SELECT ngram AS w, a + b AS f FROM u),

@@ -66,8 +66,7 @@ def marker_density(spark, d):
 
 @query
 def phrase_rate(spark, d):
-    phrases = spark.createDataFrame([("of the",), ("the",), ("is the",), ("de la",)], "phrase string")
-    return metrics.phrase_rate(_docs(spark, d), phrases)
+    return metrics.phrase_rate(_docs(spark, d), ["of the", "the", "is the", "de la"])
 
 
 @query
@@ -79,7 +78,7 @@ def tokenizer_sizes(spark, d):
 @query
 def text_digest(spark, d):
     t = F.coalesce(F.col("text"), F.lit(""))
-    return _docs(spark, d).select("doc_id", F.sha2(t, 256).alias("sha256"), T.compound(F.substring(t, 1, 40)).alias("compound"), T.capitalise(F.lower(F.substring(t, 1, 20))).alias("capitalised"), T.ends_terminal(t).alias("ends_terminal"))
+    return _docs(spark, d).select("doc_id", F.sha2(t, 256).alias("sha256"), F.sha2(T.compound(t), 256).alias("compound_sha256"), F.sha2(T.capitalise(F.lower(t)), 256).alias("capitalised_sha256"), T.ends_terminal(t).alias("ends_terminal"))
 
 
 @query
@@ -339,4 +338,4 @@ def fixed_texts(spark, d):
     """Two passes of deletions and substitutions, seams attested by the corpus."""
     docs = _docs(spark, d)
     out = edits.fix(docs, ["of the"], {"it is": "that was"}, mining.seams(docs).where("n >= 2"))
-    return out.select("doc_id", F.length("text").cast("long").alias("n_chars"))
+    return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha256"))

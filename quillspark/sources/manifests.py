@@ -19,9 +19,10 @@ def write_manifest(df: DataFrame, path: str) -> None:
 
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id (hash of the path), path, text of each file below path; texts must be valid UTF-8."""
+    """doc_id (hash of the path), path, text of each file below path; a text that is not valid UTF-8 is an error."""
     d = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return d.select(F.xxhash64("path").alias("doc_id"), "path", "text").where(F.is_valid_utf8("text"))
+    text = F.when(F.is_valid_utf8("text"), F.col("text")).otherwise(F.raise_error(F.concat(F.lit("not valid UTF-8: "), F.col("path"))))
+    return d.select(F.xxhash64("path").alias("doc_id"), "path", text.alias("text"))
 
 
 def read_bucket(spark: SparkSession, path: str) -> DataFrame:
@@ -34,9 +35,9 @@ def syntax_of(path, text):
     return F.when(F.lower(path).rlike(r"\.html?$") | head.startswith("<!doctype html") | head.startswith("<html"), "html").otherwise("markdown")
 
 
-def sarif(spans: DataFrame, uri: str) -> DataFrame:
-    """One SARIF 2.1.0 log (JSON) per document; spans: doc_id, line, column, rule, message."""
-    loc = F.array(F.struct(F.struct(F.struct(F.lit(uri).alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn")).alias("region")).alias("physicalLocation")))
+def sarif(spans: DataFrame, uri_col: str = "uri") -> DataFrame:
+    """One SARIF 2.1.0 log (JSON) per document; spans: doc_id, line, column, rule, message and where the document is."""
+    loc = F.array(F.struct(F.struct(F.struct(F.col(uri_col).alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn")).alias("region")).alias("physicalLocation")))
     result = F.struct(F.col("rule").alias("ruleId"), F.lit("warning").alias("level"), F.struct(F.col("message").alias("text")).alias("message"), loc.alias("locations"))
     g = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", "column", "rule", result.alias("r")))).alias("rs"))
     run = F.struct(F.struct(F.struct(F.lit("quillspark").alias("name")).alias("driver")).alias("tool"), F.transform("rs", lambda x: x["r"]).alias("results"))
