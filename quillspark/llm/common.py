@@ -16,10 +16,13 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below the folder that the cluster names in spark.checkpoint.dir.
 
-    Where that is unset (tests on one machine), a temporary folder is made and set once.
+    Where that is unset, a temporary folder is made and set once on one machine (tests); on a cluster it is an error, as
+    executors would each write to disks of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         base = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quillspark/{name}-{uuid.uuid4().hex}"

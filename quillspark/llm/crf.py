@@ -8,7 +8,8 @@ by logistic regression on the training documents; spans are runs of tokens with
 A sequence ends at . ! or ? or after LONGEST tokens; every token of a text is in one.
 
 Only fitting looks at a sample: at most `most_toxic` and `most_clean` labelled rows, those with the smallest hash of
-their id. Everything else is of all rows, each on its own.
+their id. Ties of features to toxicity and the regression of scores are of all of these; the field's weights are of all
+sequences of at most FIELD of them of either label, drawn with a fixed seed. Everything else is of all rows, each on its own.
 
 Defined cases: null or empty text has no tokens and is scored like any other; repeated rows get equal scores; equal label
 rows count once, conflicting labels of an id by the larger; null labels or ids teach nothing; with only one label, or
@@ -30,6 +31,8 @@ from .common import pick, small_batches
 
 #: Texts that the fit tokenizes at a time.
 LONGEST, ENDS, PART = 128, (".", "!", "?"), 100
+#: Labelled rows of either label whose sequences the field is fitted on.
+FIELD = 250
 _STRIP = "".join(map(chr, range(33, 127)))
 _STRIP = "".join(c for c in _STRIP if not c.isalnum()) + "“”„«»’‘…–—¡¿"
 
@@ -161,7 +164,7 @@ class ToxicCRF:
         return 1 / (1 + np.exp(-np.clip(s, -30, 30))), p, text
 
 
-def fit(texts: list[str], y: np.ndarray, rounds: int = 40, most_tokens: int = 150_000) -> ToxicCRF:
+def fit(texts: list[str], y: np.ndarray, rounds: int = 40, field: int = FIELD) -> ToxicCRF:
     """Token labels from document labels, then gradient ascent (AdaGrad) on the field's log-likelihood."""
     trans = np.array([[0.0, -2.0], [0.0, -1.0]])
     if not (y == 1).any() or not (y == 0).any():
@@ -185,26 +188,11 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 40, most_tokens: int = 15
             gold[k] = v
         return gold
 
-    # all sequences with a T, and as many others as the bound leaves room for; tokens of PART texts are in memory at a time
-    has, size = [], []
-    for k in range(0, len(texts), PART):
-        tokens, seq, text = sequences(texts[k : k + PART])
-        n_seq = int(seq[-1]) + 1 if len(seq) else 0
-        has.append(np.bincount(seq, golden(tokens, y[k + text] == 1), n_seq) > 0)
-        size.append(np.bincount(seq, minlength=n_seq))
-    first = np.cumsum([0, *map(len, size)])
-    has, size = np.concatenate(has), np.concatenate(size)
-    order = np.argsort(np.where(has, 0.0, 1 + np.random.default_rng(3).random(len(size))), kind="stable")
-    use = np.zeros(len(size), bool)
-    use[order[: max(1, int(np.searchsorted(np.cumsum(size[order]), most_tokens)))]] = True
-    tok, seqs, golds = [], [], []
-    for k, at in zip(range(0, len(texts), PART), first.tolist(), strict=False):
-        tokens, seq, text = sequences(texts[k : k + PART])
-        keep = use[at + seq]
-        tok += [t for t, used in zip(tokens, keep.tolist(), strict=True) if used]
-        seqs.append((at + seq)[keep])
-        golds.append(golden(tokens, y[k + text] == 1)[keep].astype(float))
-    seq, gold = np.concatenate(seqs), np.concatenate(golds)
+    # whole texts, as many of either label
+    rng = np.random.default_rng(3)
+    use = np.sort(np.concatenate([rng.permutation(np.flatnonzero(y == k))[:field] for k in (1, 0)])).tolist()
+    tok, seq, text = sequences([texts[k] for k in use])
+    gold = golden(tok, y[use][text] == 1).astype(float)
     weights_of: dict[str, int] = {}
     at, idx = [], []
     for k, t in enumerate(tok):

@@ -63,7 +63,7 @@ def op7_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = crf.train(docs, _table(spark, sf_dir, "labels").where(_remainder(5) != 0), "toxic")
-    return crf.score(docs, model).select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return crf.score(docs, model).select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic", F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias("spans"))
 
 
 QUERIES = {"op1_compression_bands": op1_compression_bands, "op2_disclosure": op2_disclosure, "op3_pfair": op3_pfair, "op4_simple8b": op4_simple8b, "op5_style_tree": op5_style_tree, "op6_bradley_terry": op6_bradley_terry, "op7_weighted_sampling": op7_weighted_sampling, "op8_minhash": op8_minhash, "op9_crf": op9_crf, "op10_bpe": op10_bpe}

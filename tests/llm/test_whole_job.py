@@ -1,14 +1,16 @@
 """What an operator must not leave out: parts of texts, pages, tokens and entities that a shorter way would not look at."""
 
 import base64
+import itertools
 import math
 import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from quillspark.llm import compression, disclosure, minhash, styletree
+from quillspark.llm import compression, crf, disclosure, minhash, styletree
 
 
 def _prose(n):
@@ -61,6 +63,23 @@ def test_terms_of_rare_entities_and_far_from_them_disclose(spark):
     assert got[2005] == again[-1][1]
 
 
+# 9
+def test_marginals_like_enumeration():
+    rng = np.random.default_rng(2)
+    trans = rng.normal(size=(2, 2))
+    sizes = [1, 2, 5, 9, 8]
+    x, seq = rng.normal(size=sum(sizes)) * 2, np.repeat(np.arange(len(sizes)), sizes)
+    want = []
+    for k, n in enumerate(sizes):
+        e, total, on = x[seq == k], 0.0, np.zeros(n)
+        for tags in itertools.product((0, 1), repeat=n):
+            w = math.exp(sum(v for v, t in zip(e, tags, strict=True) if t) + sum(trans[a, b] for a, b in itertools.pairwise(tags)))
+            total += w
+            on += w * np.array(tags)
+        want.append(on / total)
+    assert np.abs(crf.marginals(x, seq, trans) - np.concatenate(want)).max() < 1e-12
+
+
 # 5
 def test_style_tree_decides_inside_articles(spark):
     body = "<html><body><div class=top>Top line of the site</div><article><h2>Story {0}</h2><div class=x><p>Read this with our app</p></div><p>{1}</p></article></body></html>"
