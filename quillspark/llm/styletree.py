@@ -33,6 +33,8 @@ THRESHOLD, MIN_PAGES, GAMMA, MOST_NODES = 0.45, 8, 0.9, 20_000
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+))?""")
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "svg", "math", "object", "canvas", "select"}
+#: Without an end tag they last to the end of the page.
+TO_THE_END = {"script", "style", "textarea", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 NEVER = {"nav", "footer", "header", "aside", "form", "button", "menu", "dialog", "head"}
@@ -67,8 +69,9 @@ def parse(page: str | None) -> tuple[list[Block], list[tuple[tuple, tuple]]]:
     s = page or ""
     blocks: list[Block] = []
     elements: list[tuple[tuple, list]] = []
-    # tag, path, never, main, children
-    root: list = ["", (), False, False, []]
+    unclosed: set[str] = set()
+    # tag, path, never, main, children, never and main of it or of an element around it
+    root: list = ["", (), False, False, [], False, False]
     stack = [root]
     elements.append(((), root[4]))
     current: Block | None = None
@@ -82,7 +85,7 @@ def parse(page: str | None) -> tuple[list[Block], list[tuple[tuple, tuple]]]:
             if not x.strip():
                 return
             top = stack[-1]
-            current = Block(top[1], any(e[2] for e in stack), any(e[3] for e in stack))
+            current = Block(top[1], top[5], top[6])
             blocks.append(current)
         current.parts.append(H.unescape(x) if "&" in x else x)
 
@@ -112,8 +115,14 @@ def parse(page: str | None) -> tuple[list[Block], list[tuple[tuple, tuple]]]:
             continue
         if tag in RAW:
             if not m[3].rstrip().endswith("/") or tag in ("script", "style", "textarea", "title"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(s, at)
-                at = end.end() if end else n
+                end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(s, at)
+                if end:
+                    at = end.end()
+                elif tag in TO_THE_END:
+                    at = n
+                else:
+                    # nothing closes it: the page goes on
+                    unclosed.add(tag)
             continue
         if tag == "br":
             text(" ")
@@ -139,18 +148,18 @@ def parse(page: str | None) -> tuple[list[Block], list[tuple[tuple, tuple]]]:
         attrs = {a.lower(): v.strip("\"'") for a, v in ATTR.findall(m[3])} if m[3].strip(" /") else {}
         classes = attrs.get("class", "")
         # an article's own header keeps its headline
-        never = (tag in NEVER and not (tag == "header" and any(e[3] for e in stack))) or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "") or (tag not in ("html", "body", "article", "main") and bool(NOISE.search(f"{classes} {attrs.get('id', '')}")))
+        never = (tag in NEVER and not (tag == "header" and stack[-1][6])) or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "") or (tag not in ("html", "body", "article", "main") and bool(NOISE.search(f"{classes} {attrs.get('id', '')}")))
         main = tag in ("article", "main") or attrs.get("role") in ("main", "article")
         parent = stack[-1]
         if tag in INLINE and not never:
-            stack.append([tag, parent[1], False, main, parent[4]])
+            stack.append([tag, parent[1], False, main, parent[4], parent[5], parent[6] or main])
             continue
         current = None
         name = ".".join([tag, *sorted(re.sub(r"\d+", "", c) for c in classes.split()[:2])])
         parent[4].append(name)
         children: list = []
         path = (*parent[1], name) if len(parent[1]) < 24 else parent[1]
-        stack.append([tag, path, never, main, children])
+        stack.append([tag, path, never, main, children, parent[5] or never, parent[6] or main])
         elements.append((path, children))
     text(s[at:])
     return blocks, [(p, tuple(dict.fromkeys(c))) for p, c in elements if c]

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -159,6 +160,22 @@ def test_many_and_overlapping_spans_of_a_text(spark):
     assert out == {0: "[EMAIL] [IP] " * 700 + "end", 1: "[IP] tail", 2: "x" * 1020 + " [EMAIL] " + "y" * 1020 + " [PHONE]", 3: "\U0001f600 [EMAIL] " * 400}
 
 
+# 5
+def test_unclosed_elements_and_deep_nesting_keep_the_text():
+    shown = lambda page: [b.text for b in styletree.parse(page)[0] if not b.never]
+    for tag in ("select", "svg", "object", "iframe", "noscript", "template"):
+        assert shown(f"<p>one</p><{tag} a=b><p>two</p><p>three</p>") == ["one", "two", "three"]
+        assert shown(f"<p>one</p><{tag}><p>gone</p></{tag}><p>three</p>") == ["one", "three"]
+    assert shown("<p>one</p><script>x<p>gone</p>") == ["one"]
+    start = time.process_time()
+    assert len(shown("<div>x" * 40_000)) == 40_000
+    assert len(shown("<p>y<select>" * 20_000)) == 20_000
+    assert time.process_time() - start < 20
+    # what surrounds a block marks it, however deep it is
+    deep = styletree.parse("<nav><div><b><div>menu</div></b></div></nav><article><div><header><h1>head</h1></header><i>text</i></div></article>")[0]
+    assert [(b.text, b.never, b.main) for b in deep] == [("menu", True, False), ("head", False, True), ("text", False, True)]
+
+
 # 8
 def test_a_family_below_the_threshold_is_not_paired(spark, monkeypatch):
     """Texts of one template, similarity about 0.8, without links: the rows of pairs stay in proportion to the texts."""
