@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import reports
-from .plans.oracles import ORACLES
+from .plans import oracles, reports, style
 
-QUERIES = reports.QUERIES
+QUERIES = {**reports.QUERIES, **style.QUERIES}
+ORACLES = {**oracles.ORACLES, **style.ORACLES}
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
