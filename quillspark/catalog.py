@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import oracles, reports, style
+from .plans import matching, oracles, reports, style
 
-QUERIES = {**reports.QUERIES, **style.QUERIES}
-ORACLES = {**oracles.ORACLES, **style.ORACLES}
+QUERIES = {**reports.QUERIES, **style.QUERIES, **matching.QUERIES}
+ORACLES = {**oracles.ORACLES, **style.ORACLES, **matching.ORACLES}
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.stats import log_odds, smoothed_ratio
+from .spans import runs
 
 
 def ngram_counts(docs: DataFrame, order: int) -> DataFrame:
@@ -116,3 +117,35 @@ def matching_stats(docs: DataFrame, reference: DataFrame, cap: int) -> DataFrame
     hit = grams(docs).join(have, ["o", "g"], "left_semi").groupBy("doc_id", "ix").agg(F.max("o").alias("m"))
     every = docs.select("doc_id", F.posexplode(T.clean_tokens(F.coalesce("text", F.lit("")))).alias("ix", "token"))
     return every.join(hit, ["doc_id", "ix"], "left").select("doc_id", F.col("ix").cast("long").alias("tok_ix"), F.coalesce("m", F.lit(0)).cast("long").alias("m"))
+
+
+def differential(docs: DataFrame, machine: DataFrame, human: DataFrame, cap: int) -> DataFrame:
+    """doc_id, tok_ix, m, h, d: matching statistics of each token in either reference, up to cap, and m - h."""
+    m = matching_stats(docs, machine, cap)
+    h = matching_stats(docs, human, cap).withColumnRenamed("m", "h")
+    return m.join(h, ["doc_id", "tok_ix"]).withColumn("d", F.col("m") - F.col("h"))
+
+
+def differential_spans(curve: DataFrame, start: int = 3, keep: int = 2, least: int = 2, widest: int = 4) -> DataFrame:
+    """doc_id, left_ix, end_ix, score, window_ix, window_len of the runs of a differential curve (end excluded).
+
+    A run begins at d >= start and goes on while d >= keep; its score is the sum of d over that region. The span reaches
+    m - 1 tokens further left, to where the phrase matched at the region's first token begins. The window is the 2 to
+    `widest` tokens in the span with the largest sum of d, the earliest of these, then the shortest.
+    """
+    r = runs(curve.select("doc_id", "tok_ix", "d"), start, keep, least)
+    first = curve.select("doc_id", F.col("tok_ix").alias("start_ix"), "m")
+    r = r.join(first, ["doc_id", "start_ix"]).withColumn("left_ix", F.greatest(F.col("start_ix") - F.greatest(F.col("m") - 1, F.lit(0)), F.lit(0)))
+    w = Window.partitionBy("doc_id").orderBy("tok_ix")
+    sums = F.array(*[F.struct(F.sum("d").over(w.rowsBetween(0, k - 1)).alias("sum"), (-F.col("tok_ix")).alias("from"), F.lit(-k).alias("len")) for k in range(2, widest + 1)])
+    windows = curve.select("doc_id", "tok_ix", sums.alias("ws"))
+    e = r.select("doc_id", "left_ix", "end_ix", "score", F.explode(F.sequence("left_ix", F.col("end_ix") - 2)).alias("tok_ix")).join(windows, ["doc_id", "tok_ix"])
+    best = F.array_max(F.filter("ws", lambda x: F.col("tok_ix") - x["len"] <= F.col("end_ix")))
+    g = e.groupBy("doc_id", "left_ix", "end_ix", "score").agg(F.max(best).alias("b"))
+    return g.select("doc_id", "left_ix", "end_ix", "score", (-F.col("b.from")).alias("window_ix"), (-F.col("b.len")).cast("long").alias("window_len"))
+
+
+def differential_report(curve: DataFrame) -> DataFrame:
+    """Mean m, mean h and their difference for each document that has a token."""
+    g = curve.groupBy("doc_id").agg(F.avg("m").alias("m"), F.avg("h").alias("h"), F.count("*").alias("n_tokens"))
+    return g.select("doc_id", F.round("m", 6).alias("mean_machine"), F.round("h", 6).alias("mean_human"), F.round(F.col("m") - F.col("h"), 6).alias("differential"), "n_tokens")
