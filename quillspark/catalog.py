@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import frames, matching, oracles, reports, style
+from .plans import frames, lifecycle, matching, oracles, reports, style
 
-QUERIES = {**reports.QUERIES, **style.QUERIES, **matching.QUERIES, **frames.QUERIES}
-ORACLES = {**oracles.ORACLES, **style.ORACLES, **matching.ORACLES, **frames.ORACLES}
+QUERIES = {**reports.QUERIES, **style.QUERIES, **matching.QUERIES, **frames.QUERIES, **lifecycle.QUERIES}
+ORACLES = {**oracles.ORACLES, **style.ORACLES, **matching.ORACLES, **frames.ORACLES, **lifecycle.ORACLES}
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
