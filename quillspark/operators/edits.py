@@ -11,9 +11,11 @@ from . import spans as S
 def in_quotes(text: Column, start: Column, end: Column) -> Column:
     """Odd number of straight quotes before, an open curly quote, or a quote inside."""
     head = text.substr(F.lit(1), start)
-    odd = (F.regexp_count(head, F.lit('"')) % 2) == 1
-    deep = F.regexp_count(head, F.lit("“")) > F.regexp_count(head, F.lit("”"))
-    return odd | deep | text.substr(start + 1, end - start).rlike('["“”]')
+    count = lambda q: F.length(head) - F.length(F.replace(head, F.lit(q), F.lit("")))
+    inside = text.substr(start + 1, end - start).rlike('["“”]')
+    # most texts have no quote: what stands before a span is looked at in the others alone
+    quoted = ((count('"') % 2) == 1) | (count("“") > count("”")) | inside
+    return F.when(text.contains('"') | text.contains("“") | text.contains("”"), quoted).otherwise(False)
 
 
 def deletions(docs: DataFrame, phrases: list[str], seams: DataFrame, rule: str = "span.delete") -> DataFrame:
@@ -22,12 +24,14 @@ def deletions(docs: DataFrame, phrases: list[str], seams: DataFrame, rule: str =
     seams: left, right. A sentence start or a full stop on the right needs no attestation. A letter that a deletion at a
     sentence start exposes becomes a capital, as part of the patch; no other letter changes.
     """
-    found = S.literal_spans(docs, phrases).join(docs.select("doc_id", "text"), "doc_id")
+    found = S.literal_spans(docs, phrases, keep=("text",))
     t = F.col("text")
-    before = F.lower(t.substr(F.lit(1), F.col("start")))
-    after = F.lower(t.substr(F.col("end") + 1, F.length(t)))
-    left = F.regexp_extract(before, r"([\p{L}']+|[.,;:!?])\s*$", 1)
-    right = F.regexp_extract(after, r"^\s*([\p{L}']+|[.,;:!?])", 1)
+    before = t.substr(F.lit(1), F.col("start"))
+    after = t.substr(F.col("end") + 1, F.length(t))
+    # anchored, with a greedy run first: the search begins at the end of what stands before
+    word = F.regexp_extract(before, r"(?s)^(?:.*[^\p{L}'])?([\p{L}']+)\s*$", 1)
+    left = F.lower(F.when(word != "", word).otherwise(F.regexp_extract(before, r"(?s)^.*([.,;:!?])\s*$", 1)))
+    right = F.lower(F.regexp_extract(after, r"^\s*([\p{L}']+|[.,;:!?])", 1))
     space = (t.substr(F.col("end") + 1, F.lit(1)) == " ").cast("int")
     first = t.substr(F.col("end") + space + 1, F.lit(1))
     c = found.where(~in_quotes(t, F.col("start"), F.col("end"))).select("doc_id", "start", (F.col("end") + space).alias("end"), left.alias("left"), right.alias("right"), first.alias("first"))
@@ -42,7 +46,7 @@ def deletions(docs: DataFrame, phrases: list[str], seams: DataFrame, rule: str =
 def substitutions(docs: DataFrame, pairs: dict[str, str], rule: str = "sub.apply") -> DataFrame:
     """Patches that replace phrases, with the capital of what they replace, outside quotes."""
     table = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
-    found = S.literal_spans(docs, list(pairs)).join(docs.select("doc_id", "text"), "doc_id")
+    found = S.literal_spans(docs, list(pairs), keep=("text",))
     t = F.col("text")
     old, new = t.substr(F.col("start") + 1, F.lit(1)), table[F.col("frame_id")]
     kept = F.when(old == F.lower(old), new).otherwise(F.concat(F.upper(new.substr(1, 1)), new.substr(F.lit(2), F.length(new))))

@@ -43,14 +43,17 @@ def located(d: DataFrame, text_col: str, pattern: str | Column) -> DataFrame:
     return d.withColumn("found", F.when(F.size("_e") > 0, F.transform("_e", one)).otherwise(F.transform(F.slice("_e", 1, 1), one))).drop("_m", "_g", "_l", "_b", "_e")
 
 
-def literal_spans(docs: DataFrame, phrases: list[str], channel: str = "literal") -> DataFrame:
-    """Leftmost-longest phrases; a match that is not bounded by non-letters goes, without another try (it hides shorter ones)."""
+def literal_spans(docs: DataFrame, phrases: list[str], channel: str = "literal", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Leftmost-longest phrases; a match that is not bounded by non-letters goes, without another try (it hides shorter ones).
+
+    keep: columns of docs that go with each span, so that none is joined back.
+    """
     longest = sorted(phrases, key=lambda p: (-len(p), p))
     alt = "|".join("".join("\\" + c if not c.isalnum() and c != " " else c for c in p) for p in longest)
-    d = located(docs.select("doc_id", T.ascii_lower(F.coalesce(F.col("text"), F.lit(""))).alias("t")), "t", alt)
+    d = located(docs.select("doc_id", *keep, T.ascii_lower(F.coalesce(F.col("text"), F.lit(""))).alias("t")), "t", alt)
     letter = r"^[\p{L}']$"
     bounded = F.filter("found", lambda x: ~x["before"].rlike(letter) & ~x["after"].rlike(letter))
-    return d.select("doc_id", F.explode(bounded).alias("s")).select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.lit(channel).alias("channel"), F.col("s.v").alias("frame_id"))
+    return d.select("doc_id", *keep, F.explode(bounded).alias("s")).select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.lit(channel).alias("channel"), F.col("s.v").alias("frame_id"), *keep)
 
 
 def regex_spans(docs: DataFrame, patterns: DataFrame) -> DataFrame:
