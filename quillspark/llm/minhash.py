@@ -9,9 +9,9 @@ agree: with M = 24, R = 4 a pair at similarity 0.85 is missed with probability 6
 1. A node joins tables only with the collections it shares with another node; most nodes have none and stop here.
 2. Over a ring of M tables, each bucket's smallest node is compared with the others; links make components.
 3. Over all tables, only buckets that still hold several components are looked at: first against some hubs; the nodes that
-   are left then meet by the rare items of their full sets, which loses no link, and only nodes of different components
-   are paired. Pairs inside a component would change nothing. So a group of copies or near copies is never expanded into
-   all its pairs, nor is a family of texts that share a bucket without being similar enough.
+   are left then meet by the first rare items that their full sets share, which loses no link, and only nodes of different
+   components are paired. Pairs inside a component would change nothing. So a group of copies or near copies is never
+   expanded into all its pairs, nor is a family of texts that share a bucket without being similar enough.
 A pair is made only if sizes and odd sketches allow the similarity: a sketch has a bit for each of ODD buckets of hashes,
 whether an odd number fall there, so two differ in at most as many bits as the sets in members. This loses no link.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import pick, saved, small_batches
 from .graph import components
 
-M, R, HUBS, ODD = 24, 4, 2, 512
+M, R, HUBS, ODD, BEFORE = 24, 4, 2, 512, 4
 #: Ids of documents that are broadcast (16 bytes each, or as many as a longer id has).
 MOST_IDS = 2_000_000
 _rng = np.random.default_rng(20240611)
@@ -163,18 +163,39 @@ def _near(percent: int):
 
 
 def _rare(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """left (node, n, odd, comp) with item: of each node's set, the items by which it meets every set similar enough.
+    """left (node, n, odd, comp) with item, at, before: the items of a node's set by which it meets every set similar enough.
 
     Sets of n items that are similar enough share percent * n / 100 of them at least, so not all they share is among the last
     of either in one order of all items; the first n - ceil(percent * n / 100) + 1 suffice. Rarest come first, those of one
     node alone (which meet nothing) before all: members of a family that differ in items of their own keep few or none.
+    at is the item's place in that order; before, the last BEFORE items ahead of it that other nodes have too.
     """
     each = left.select("node").join(sets, "node").select("node", F.explode("items").alias("item"))
     often = saved(each.groupBy("item").agg(F.count("*").alias("f")).where("f > 1"), "often")
     own = each.join(often, "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("x"))
-    keep = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1 - (F.col("n") - F.size("x"))
-    own = left.join(own, "node").where(keep > 0).withColumn("x", F.slice("x", F.lit(1), F.greatest(keep, F.lit(0)).cast("int")))
-    return saved(own.select("node", "n", "odd", "comp", F.explode("x.item").alias("item")), "rare")
+    alone = F.col("n") - F.size("x")
+    keep = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1 - alone
+    own = left.join(own, "node").where(keep > 0).select("*", alone.alias("alone"), F.slice("x.item", F.lit(1), F.greatest(keep, F.lit(0)).cast("int")).alias("own"))
+    own = own.select("node", "n", "odd", "comp", "alone", "own", F.posexplode("own").alias("k", "item"))
+    before = F.slice("own", F.greatest(F.col("k") - BEFORE, F.lit(0)) + 1, F.least("k", F.lit(BEFORE)))
+    return saved(own.select("node", "n", "odd", "comp", "item", (F.col("alone") + F.col("k")).alias("at"), before.alias("before")), "rare")
+
+
+def _meet(rare: DataFrame, percent: int) -> DataFrame:
+    """node, a: every pair of nodes of different components that may be similar enough, from rows of _rare.
+
+    Such sets of n and m items share s = ceil(percent * (n + m) / (100 + percent)) at least, all of them from the first they
+    share on, so that one is at place n - s and m - s at most; for the smaller set s is least where both have its size. A pair
+    is left out at an item that follows one they share too, as it is made at the first of these. No link is lost, and a pair
+    comes from one item or few, not from each that its sets share.
+    """
+    share = lambda both: F.floor((both * percent + (99 + percent)) / (100 + percent))
+    small = rare.where(F.col("at") <= F.col("n") - share(F.col("n") * 2))
+    small = small.select("item", F.col("node").alias("a"), F.col("n").alias("hub_n"), F.col("odd").alias("hub_odd"), F.col("comp").alias("hub_comp"), F.col("at").alias("hub_at"), F.col("before").alias("hub_before"))
+    s = share(F.col("n") + F.col("hub_n"))
+    ordered = (F.col("hub_n") < F.col("n")) | ((F.col("hub_n") == F.col("n")) & (F.col("a") < F.col("node")))
+    first = (F.col("at") <= F.col("n") - s) & (F.col("hub_at") <= F.col("hub_n") - s)
+    return rare.join(small, "item").where((F.col("comp") != F.col("hub_comp")) & ordered & first & _near(percent) & ~F.arrays_overlap("before", "hub_before")).select("node", "a")
 
 
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -223,12 +244,10 @@ def classes(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str = "d
         rows = saved(keyed(here).join(mixed, "key", "left_semi"), "rows")
         if turn < HUBS:
             hubs = saved(rows.groupBy("key").agg(F.min_by(F.struct("node", "n", "odd", "comp"), F.xxhash64("node", F.lit(turn))).alias("h")).select("key", F.col("h.node").alias("a"), F.col("h.n").alias("hub_n"), F.col("h.odd").alias("hub_odd"), F.col("h.comp").alias("hub_comp")), "hubs")
-            found = rows.join(hubs, "key").where(F.col("comp") != F.col("hub_comp"))
+            found = rows.join(hubs, "key").where((F.col("comp") != F.col("hub_comp")) & _near(percent))
         else:
-            left = _rare(rows.select("node", "n", "odd", "comp").distinct(), sets, percent)
-            other = left.select("item", F.col("node").alias("a"), F.col("n").alias("hub_n"), F.col("odd").alias("hub_odd"), F.col("comp").alias("hub_comp"))
-            found = left.join(other, "item").where((F.col("comp") != F.col("hub_comp")) & (F.col("node") < F.col("a")))
-        new = found.where(_near(percent)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+            found = _meet(_rare(rows.select("node", "n", "odd", "comp").distinct(), sets, percent), percent)
+        new = found.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         new = saved(new.join(tested, ["a", "b"], "left_anti"), "pairs")
         links = saved(_confirm(new, sets, percent), "links")
         labels = _relabel(labels, links)

@@ -202,3 +202,59 @@ def test_a_family_below_the_threshold_is_not_paired(spark, monkeypatch):
     linked = {n + k: k for k in range(0, 40, 4)}
     assert got == {i: linked.get(i, i) for i, _ in rows}
     assert sum(made) < 100 * n
+
+
+def _sets(spark, sets, comps):
+    """left and sets, as the last turn gets them."""
+    left = [(bytes([k // 256, k % 256]), len(s), minhash.odd_sketch([np.array(sorted(s), np.uint64)])[0].tolist(), bytes([c // 256, c % 256])) for k, (s, c) in enumerate(zip(sets, comps, strict=True))]
+    items = [(r[0], sorted(s)) for r, s in zip(left, sets, strict=True)]
+    return spark.createDataFrame(left, "node binary, n long, odd array<long>, comp binary"), spark.createDataFrame(items, "node binary, items array<long>")
+
+
+@pytest.mark.parametrize("percent", [60, 80, 85, 100])
+def test_last_turn_meets_every_similar_pair_once_or_twice(spark, percent):
+    rng = random.Random(percent)
+    sets, comps = [], []
+    for g in range(12):
+        base = [rng.randrange(1, 1 << 40) for _ in range(rng.choice([1, 2, 9, 40, 150]))]
+        for _ in range(rng.choice([2, 15, 30])):
+            s = set(base[rng.choice([0, 0, len(base) // 9]) :])
+            for _ in range(rng.choice([0, 1, 2, len(base) // 12, len(base) // 8])):
+                s.discard(rng.choice(base))
+                s.add(rng.choice([rng.randrange(1, 1 << 40), g + 1, g + 2]))
+            if s and s not in sets:
+                sets.append(s)
+                comps.append(len(sets) if rng.random() < 0.9 else 0)
+    left, items = _sets(spark, sets, comps)
+    at = lambda b: b[0] * 256 + b[1]
+    rows = [tuple(sorted((at(r.node), at(r.a)))) for r in minhash._meet(minhash._rare(left, items, percent), percent).collect()]
+    want = {(i, k) for k in range(len(sets)) for i in range(k) if comps[i] != comps[k] and 100 * len(sets[i] & sets[k]) >= percent * len(sets[i] | sets[k])}
+    assert want <= set(rows) and (want or percent == 100)
+    assert all(comps[i] != comps[k] for i, k in rows)
+    assert len(rows) <= 2 * len(set(rows))
+
+
+def test_a_family_that_shares_rare_items_makes_few_rows(spark):
+    """Texts of one template that differ at the same places, similarity 0.844, without links: no join makes a row a pair."""
+    n, words = 300, 300
+    rows = []
+    for k in range(n):
+        t = [f"t{w}" for w in range(words)]
+        for at in (30, 80, 130, 180, 230):
+            t[at] = f"u{k}x{at}"
+        rows.append((k, " ".join(t)))
+    store = spark._jsparkSession.sharedState().statusStore()
+    ran = store.executionsCount()
+    got = minhash.classes(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()
+    assert all(r.kept and r.component_id == r.doc_id for r in got)
+    made = []
+    runs = store.executionsList()
+    for x in (runs.apply(k) for k in range(ran, runs.size())):
+        values, nodes = store.executionMetrics(x.executionId()), store.planGraph(x.executionId()).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            metrics = node.metrics()
+            for m in (metrics.apply(k) for k in range(metrics.size())):
+                if "Join" in node.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    made.append(int(values.apply(m.accumulatorId()).replace(",", "")))
+    # tables of the nodes are joined too, M * (M - 1) / 2 of each at most
+    assert made and max(made) < n * minhash.M * (minhash.M - 1) // 2
