@@ -11,6 +11,8 @@ from collections.abc import Callable
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -18,6 +20,9 @@ WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"
 
 #: Signs that end a word without belonging to its piece; no apostrophe, which contractions begin with.
 SIGNS = ".,!?;:#*$%&|)]}\""
+#: By code point: white space; the last element stands for all that follow.
+_IS_WHITE = np.zeros(0x3002, bool)
+_IS_WHITE[[ord(x) for x in WHITE]] = True
 
 
 def pattern(p: str) -> regex.Pattern:
@@ -47,6 +52,9 @@ class ChunkCache:
         # letters and then signs are two pieces, each of which may be known already
         whole, made, ends = [], [], {}
         for x in spaced:
+            if x.isalpha():
+                whole.append(x)
+                continue
             w = x.rstrip(SIGNS)
             if len(w) < len(x) and w.isalpha():
                 made.append((x, w, x[len(w) :]))
@@ -83,9 +91,9 @@ class ChunkCache:
         m = n + len(spaced)
         self.spaced.update(zip(spaced, range(n, m), strict=True))
         self.bare.update(zip(bare, range(m, n + k), strict=True))
-        both = spaced + bare
-        self._room("opens", n, k)[n : n + k] = np.fromiter((not x or x[0] in WHITE for x in both), bool, k)
-        self._room("closes", n, k)[n : n + k] = np.fromiter((not x or x[-1] in WHITE for x in both), bool, k)
+        opens, closes = _white_ends(spaced)
+        self._room("opens", n, k)[n : n + k] = np.append(opens, np.fromiter((not x or x[0] in WHITE for x in bare), bool, len(bare)))
+        self._room("closes", n, k)[n : n + k] = np.append(closes, np.fromiter((not x or x[-1] in WHITE for x in bare), bool, len(bare)))
         self._room("start", n, k)[n : n + k] = self.n_flat + np.cumsum(size) - size
         self._room("size", n, k)[n : n + k] = size
         self._room("seen", n, k)[n : n + k] = 0
@@ -114,27 +122,26 @@ class ChunkCache:
         code = np.fromiter(map(known.get, chunks, repeat(-1)), np.int64, len(chunks))
         miss = np.flatnonzero(code < 0)
         if len(miss):
-            new = list(dict.fromkeys(chunks[k] for k in miss.tolist()))
+            asked = [chunks[k] for k in miss.tolist()]
+            new = list(dict.fromkeys(asked))
             self._learn(new if spaced else [], [] if spaced else new)
-            code[miss] = np.fromiter((known[chunks[k]] for k in miss.tolist()), np.int64, len(miss))
+            code[miss] = np.fromiter(map(known.__getitem__, asked), np.int64, len(miss))
         return code
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and how many each has. None counts as empty."""
         if self.n > self.most:
             self._forget()
-        heads, rest, per = [], [], np.zeros(len(texts), np.int64)
-        for k, t in enumerate(texts):
-            x = (t or "").split(" ")
-            heads.append(x[0])
-            rest += x[1:]
-            per[k] = len(x)
-        code = np.zeros(len(heads) + len(rest), np.int64)
-        first = np.cumsum(per) - per
-        is_head = np.zeros(len(code), bool)
+        # split and made distinct outside Python, so that a chunk is looked up once a batch and not at each place
+        parts = pc.split_pattern(pa.array(["" if t is None else t for t in texts], pa.string()), " ")
+        at = parts.offsets.to_numpy().astype(np.int64)
+        first, per, words = at[:-1] - at[0], np.diff(at), parts.flatten()
+        is_head = np.zeros(len(words), bool)
         is_head[first] = True
+        heads, rest = words.filter(pa.array(is_head)).to_numpy(zero_copy_only=False).tolist(), words.filter(pa.array(~is_head)).dictionary_encode()
+        code = np.zeros(len(words), np.int64)
         code[is_head] = self._codes(self.bare, heads, False)
-        code[~is_head] = self._codes(self.spaced, rest, True)
+        code[~is_head] = self._codes(self.spaced, rest.dictionary.to_numpy(zero_copy_only=False).tolist(), True)[rest.indices.to_numpy()]
         unsafe = self.opens[code]
         unsafe[1:] &= self.closes[code[:-1]]
         # an empty head is the start of a text, not white space
@@ -157,6 +164,15 @@ class ChunkCache:
         return gather(self.flat, self.start[code], size), np.diff(upto)
 
 
+def _white_ends(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each string begins, and whether it ends, with white space; empty: both. None has a space."""
+    u = np.frombuffer("".join([f"{x} " for x in strings]).encode("utf-32-le"), np.uint32)
+    white = _IS_WHITE[np.minimum(u, len(_IS_WHITE) - 1)]
+    ends = np.flatnonzero(u == ord(" "))
+    starts = np.append(0, ends[:-1] + 1)[: len(ends)]
+    return white[starts], white[ends - 1] | (starts == ends)
+
+
 def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The slices of flat that begin at start and have so many elements, one after another."""
     ends = np.cumsum(size)

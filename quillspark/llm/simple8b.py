@@ -201,7 +201,10 @@ def _encoder(path: str, pat: str):
         for e in t.encode_batch_fast(["".join(one[k : k + TOGETHER]) for k in range(0, len(one), TOGETHER)], add_special_tokens=False):
             ids.append(np.array(e.ids, np.int64))
         joined = np.concatenate(ids)
-        ends = np.cumsum(np.fromiter((len(x.encode()) for x in one), np.int64, len(one)))
+        raw = np.frombuffer("".join(one).encode(), np.uint8)
+        ends = np.append(np.flatnonzero(raw == ord(" "))[1:], len(raw))[: len(one)]
+        if len(ends) < len(one) or (raw == ord(" ")).sum() > len(one):  # a chunk has a space that isn't its first sign
+            ends = np.cumsum(np.fromiter((len(x.encode()) for x in one), np.int64, len(one)))
         upto = np.searchsorted(np.cumsum(n_bytes[joined]), ends) + 1
         size[~is_apart] = np.diff(np.append(0, upto))
         rest = [e.ids for e in t.encode_batch_fast([x for x, a in zip(chunks, apart, strict=True) if a], add_special_tokens=False)]

@@ -9,9 +9,10 @@ import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 
-from quillspark.llm import compression, crf, disclosure, minhash, styletree
+from quillspark.llm import chunks, compression, crf, disclosure, minhash, styletree
 
 
 def _prose(n):
@@ -258,3 +259,34 @@ def test_a_family_that_shares_rare_items_makes_few_rows(spark):
                     made.append(int(values.apply(m.accumulatorId()).replace(",", "")))
     # tables of the nodes are joined too, M * (M - 1) / 2 of each at most
     assert made and max(made) < n * minhash.M * (minhash.M - 1) // 2
+
+
+def test_a_chunk_is_looked_up_once_a_batch():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            self.asked += 1
+            return super().get(key, default)
+
+    def encode(strings):
+        raw = [x.encode() for x in strings]
+        return np.frombuffer(b"".join(raw), np.uint8).astype(np.int32), np.array([len(x) for x in raw], np.int64)
+
+    cache = chunks.ChunkCache(encode, public_tokenizers.PATTERN)
+    cache.spaced = Counted()
+    texts = [None, "", " ", "   ", "one", " one", "x\n y\u3000 \u3000z  ", "\t a\u2003", "é, \x85 é.\n\n É", "🙂 🙂", *["the end, of the end. " * 500] * 4]
+    for _ in range(2):
+        before = cache.spaced.asked
+        flat, per = cache.batch(texts)
+        assert bytes(flat.tolist()).decode() == "".join(t or "" for t in texts)
+        assert per.tolist() == [len((t or "").encode()) for t in texts]
+        assert cache.spaced.asked - before <= len({w for t in texts for w in (t or "").split(" ")})
+
+
+def test_white_space_at_the_ends_of_chunks():
+    odd = ["", "a", "\u3000", "\ta", "a\x85", "\u2003ab\n", "🙂", "\u3001", "", "é\xa0"]
+    opens, closes = chunks._white_ends(odd)
+    assert opens.tolist() == [not x or x[0] in chunks.WHITE for x in odd]
+    assert closes.tolist() == [not x or x[-1] in chunks.WHITE for x in odd]
+    assert [len(x) for x in chunks._white_ends([])] == [0, 0]
