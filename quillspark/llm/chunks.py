@@ -8,7 +8,7 @@ pattern as a whole. So the ids are those of the whole text, and frequent chunks
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,30 +48,6 @@ class ChunkCache:
         # begins (or ends) with white space; empty: both
         self.opens, self.closes = np.zeros(1 << 12, bool), np.zeros(1 << 12, bool)
 
-    def _learn(self, spaced: list[str], bare: list[str]) -> None:
-        # letters and then signs are two pieces, each of which may be known already
-        whole, made, ends = [], [], {}
-        for x in spaced:
-            if x.isalpha():
-                whole.append(x)
-                continue
-            w = x.rstrip(SIGNS)
-            if len(w) < len(x) and w.isalpha():
-                made.append((x, w, x[len(w) :]))
-                if w not in self.spaced:
-                    ends[w] = None
-            else:
-                whole.append(x)
-        if made:
-            tails = [t for t in dict.fromkeys(t for _, _, t in made) if t not in self.bare]
-            own, own_bare = set(whole), set(bare)
-            self._add(whole + [w for w in ends if w not in own], bare + [t for t in tails if t not in own_bare])
-            a, b = (np.fromiter((known[m[k]] for m in made), np.int64, len(made)) for known, k in ((self.spaced, 1), (self.bare, 2)))
-            start, size = np.stack([self.start[a], self.start[b]], 1).ravel(), np.stack([self.size[a], self.size[b]], 1).astype(np.int64)
-            self._keep([m[0] for m in made], [], size.sum(1), gather(self.flat, start, size.ravel()))
-        else:
-            self._add(whole, bare)
-
     def _add(self, spaced: list[str], bare: list[str]) -> None:
         if spaced or bare:
             flat, size = self.encode([" " + x for x in spaced] + bare)
@@ -124,10 +100,42 @@ class ChunkCache:
         if len(miss):
             asked = [chunks[k] for k in miss.tolist()]
             new = list(dict.fromkeys(asked))
-            self._learn(new if spaced else [], [] if spaced else new)
+            self._add(new if spaced else [], [] if spaced else new)
             code[miss] = np.fromiter(map(known.__getitem__, asked), np.int64, len(miss))
         return code
 
+    def _parts(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the parts of chunks with a space before them, one after another, and how many each has.
+
+        Letters and then signs are two parts; a line's end between signs that are no white space parts the lines. So words
+        are kept, and not each of their forms.
+        """
+        stem = pc.utf8_rtrim(chunks, SIGNS)
+        cut = pc.binary_length(chunks).to_numpy() - pc.binary_length(stem).to_numpy()
+        signed = (cut > 0) & pc.utf8_is_alpha(stem).to_numpy(zero_copy_only=False)
+        in_lines, lines = [], []
+        ended = pc.match_substring(chunks, "\n")
+        for k, x in zip(np.flatnonzero(ended.to_numpy(zero_copy_only=False)).tolist(), _strings(chunks.filter(ended)), strict=True):
+            if (own := x.split("\n")) == x.split():
+                in_lines.append(k)
+                lines.append([*_signs_off(own[0]), *(y for z in own[1:] for y in ("\n", *_signs_off(z)))])
+        n = np.where(signed, 2, 1)
+        n[in_lines] = [len(x) for x in lines]
+        at = np.cumsum(n) - n
+        parts = np.zeros(int(n.sum()), np.int64)
+        other = np.ones(len(n), bool)
+        other[in_lines] = False
+        words = pc.if_else(pa.array(signed), stem, chunks).filter(pa.array(other)).dictionary_encode()
+        parts[at[other]] = self._codes(self.spaced, _strings(words.dictionary), True)[words.indices.to_numpy()]
+        signs = [x[-k:] for x, k in zip(_strings(chunks.filter(pa.array(signed))), cut[signed].tolist(), strict=True)]
+        parts[at[signed] + 1] = self._codes(self.bare, signs, False)
+        if lines:
+            parts[at[in_lines]] = self._codes(self.spaced, [x[0] for x in lines], True)
+            rest = n[in_lines] - 1
+            later = np.repeat(at[in_lines] + 1 - (np.cumsum(rest) - rest), rest) + np.arange(int(rest.sum()))
+            parts[later] = self._codes(self.bare, [y for x in lines for y in x[1:]], False)
+        return parts, n
+
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and how many each has. None counts as empty."""
         if self.n > self.most:
@@ -138,30 +146,52 @@ class ChunkCache:
         first, per, words = at[:-1] - at[0], np.diff(at), parts.flatten()
         is_head = np.zeros(len(words), bool)
         is_head[first] = True
-        heads, rest = words.filter(pa.array(is_head)).to_numpy(zero_copy_only=False).tolist(), words.filter(pa.array(~is_head)).dictionary_encode()
-        code = np.zeros(len(words), np.int64)
-        code[is_head] = self._codes(self.bare, heads, False)
-        code[~is_head] = self._codes(self.spaced, rest.dictionary.to_numpy(zero_copy_only=False).tolist(), True)[rest.indices.to_numpy()]
-        unsafe = self.opens[code]
-        unsafe[1:] &= self.closes[code[:-1]]
+        heads, rest = _strings(words.filter(pa.array(is_head))), words.filter(pa.array(~is_head)).dictionary_encode()
+        head, of = self._codes(self.bare, heads, False), rest.indices.to_numpy()
+        part, n_parts = self._parts(rest.dictionary)
+        part_at = np.cumsum(n_parts) - n_parts
+        unsafe, closes = np.zeros(len(words), bool), np.zeros(len(words), bool)
         # an empty head is the start of a text, not white space
-        unsafe &= ~is_head
+        unsafe[~is_head] = self.opens[part[part_at]][of]
+        closes[is_head], closes[~is_head] = self.closes[head], self.closes[part[part_at + n_parts - 1]][of]
+        unsafe[1:] &= closes[:-1]
         after_head = np.flatnonzero(is_head[:-1]) + 1
         after_head = after_head[~is_head[after_head]]
         unsafe[after_head[np.fromiter((not heads[k] for k in np.searchsorted(first, after_head - 1)), bool, len(after_head))]] = False
-        if unsafe.any():
-            owner = np.unique(np.searchsorted(first, np.flatnonzero(unsafe), "right") - 1)
-            parts, new_per, done = [], per.copy(), 0
-            for k in owner.tolist():
-                parts.append(code[done : first[k]])
-                pieces = self.pat.findall(texts[k])
-                parts.append(self._codes(self.bare, pieces, False))
-                new_per[k], done = len(pieces), first[k] + per[k]
-            code, per = np.concatenate([*parts, code[done:]]), new_per
-        self.seen[: self.n] += np.bincount(code, minlength=self.n).astype(np.int32)
-        size = self.size[code].astype(np.int64)
-        upto = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(per)])]
-        return gather(self.flat, self.start[code], size), np.diff(upto)
+        owner = np.unique(np.searchsorted(first, np.flatnonzero(unsafe), "right") - 1).tolist()
+        whole = [self._codes(self.bare, self.pat.findall(texts[k]), False) for k in owner]
+        # the ids of the batch's distinct chunks stand behind all that is kept, until the next batch
+        part_size = self.size[part].astype(np.int64)
+        ids = gather(self.flat, self.start[part], part_size)
+        self._room("flat", self.n_flat, len(ids))[self.n_flat : self.n_flat + len(ids)] = ids
+        upto = np.append(0, np.cumsum(part_size))
+        begin, length = self.n_flat + upto[part_at], upto[part_at + n_parts] - upto[part_at]
+        start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        start[is_head], start[~is_head] = self.start[head], begin[of]
+        size[is_head], size[~is_head] = self.size[head], length[of]
+        times = np.bincount(of, minlength=len(n_parts))
+        seen = np.bincount(part, np.repeat(times, n_parts), self.n) + np.bincount(np.concatenate([head, *whole]), minlength=self.n)
+        self.seen[: self.n] += seen.astype(np.int32)
+        if owner:
+            starts, sizes, per, done = [], [], per.copy(), 0
+            for k, code in zip(owner, whole, strict=True):
+                starts += [start[done : first[k]], self.start[code]]
+                sizes += [size[done : first[k]], self.size[code]]
+                done = first[k] + per[k]
+                per[k] = len(code)
+            start, size = np.concatenate([*starts, start[done:]]), np.concatenate([*sizes, size[done:]]).astype(np.int64)
+        upto = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(per))]
+        return gather(self.flat, start, size), np.diff(upto)
+
+
+def _strings(a: pa.StringArray) -> list[str]:
+    return a.to_numpy(zero_copy_only=False).tolist()
+
+
+def _signs_off(line: str) -> tuple[str, ...]:
+    """Letters, and the signs after them; or the line as it is."""
+    w = line.rstrip(SIGNS)
+    return (w, line[len(w) :]) if len(w) < len(line) and w.isalpha() else (line,)
 
 
 def _white_ends(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:

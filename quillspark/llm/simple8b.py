@@ -26,6 +26,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -58,24 +59,22 @@ def pack(ids: np.ndarray, block_size: np.ndarray) -> tuple[np.ndarray, np.ndarra
         val[whole:, : len(ids) - whole * BLOCK] = ids[whole * BLOCK :]
     else:
         val[:, :BLOCK][np.arange(BLOCK) < block_size[:, None]] = ids
-    # bits of each id; one more than the last width's is nothing's
+    # bits of each id, then of the widest of COUNT[s] ids from each position on; past the block's end are zeros
     need = np.frexp(val[:, :BLOCK].astype(np.float64))[1].astype(np.int8)
     best = np.full((n, BLOCK), 15, np.int8)
-    pos = np.arange(BLOCK, dtype=np.int16)
+    rows, seen = np.arange(n), 1
     for s in range(14, -1, -1):
-        small = need <= BITS[s]
-        if COUNT[s] >= 7:
-            # so long a run covers four ids at a multiple of four, if it doesn't reach the block's end
-            rows = np.flatnonzero((small.view(np.uint32) == 0x01010101).any(1) | small[:, -1])
-            if not len(rows):
-                break  # no id is this small, nor smaller
-            small = small[rows]
-        else:
-            rows = slice(None)
-        # the next position whose id has more bits; none left in the block: anything fits
-        over = np.where(small, np.int16(2 * BLOCK), pos)
-        reach = np.minimum.accumulate(over[:, ::-1], axis=1)[:, ::-1]
-        best[rows] = np.where(reach - pos >= COUNT[s], np.int8(s), best[rows])
+        more = min(int(COUNT[s]) - seen, BLOCK)
+        wide = need.copy()
+        np.maximum(need[:, : BLOCK - more], need[:, more:], out=wide[:, : BLOCK - more])
+        fits = wide <= BITS[s]
+        some = fits.any(1)
+        if not some.all():
+            rows, wide, fits = rows[some], wide[some], fits[some]
+        if not len(rows):
+            break  # no id is this small, nor smaller
+        best[rows] = np.where(fits, np.int8(s), best[rows])
+        need, seen = wide, int(COUNT[s])
     best, stride = best.ravel(), BLOCK + 240
     starts = np.zeros((n, BLOCK), bool)
     row, p = np.flatnonzero(block_size > 0), np.zeros(n, np.int64)
@@ -177,13 +176,20 @@ def read_segments(payloads: list[bytes]) -> tuple[list, np.ndarray, np.ndarray,
     return docs, cat(per, np.int64), unpack(cat(words, np.uint64), cat(block_words, np.int64), size), np.array(n_docs, np.int64)
 
 
+def _is_piece(chunk: str) -> bool:
+    """Latin letters, with one space before them or none: one piece whatever version of Unicode the library has."""
+    w = chunk[1:] if chunk[:1] == " " else chunk
+    return w.isalpha() and (w.isascii() or max(w) < "\u0220")
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str, pat: str):
     """texts -> all ids one after another, and how many each text has, as the tokenizers library encodes whole texts.
 
-    Chunks not seen before are encoded TOGETHER in one string, cut again where their bytes end: ids are byte-level tokens,
-    and a chunk that begins with one space, followed by none, begins a piece of the pre-tokenizer. Texts with an added token's
-    string go through the library whole.
+    Chunks not seen before that are one piece of the pre-tokenizer, letters with a space before them or none, go to the
+    library's model, spelled as its byte level does. Others are encoded TOGETHER in one string, cut again where their bytes
+    end: ids are byte-level tokens, and a chunk that begins with one space, followed by none, begins a piece of the
+    pre-tokenizer. Texts with an added token's string go through the library whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -192,7 +198,28 @@ def _encoder(path: str, pat: str):
     n_bytes = np.array([len(t.id_to_token(k) or "") for k in range(t.get_vocab_size())], np.int64)
     added = [x.content for x in t.get_added_tokens_decoder().values()]
 
+    tokenize = t.model.tokenize
+    spelled = {b: t.pre_tokenizer.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
+    # bytes from 128 on: by the signs of two bytes that have them
+    for k in range(128, 0x800):
+        spelled |= zip(chr(k).encode(), t.pre_tokenizer.pre_tokenize_str(chr(k))[0][0], strict=True)
+    line_end = spelled[ord("\n")]
+
     def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.fromiter(map(_is_piece, chunks), bool, len(chunks))
+        letters = list(compress(chunks, plain))
+        spelling = "\n".join(letters).encode().decode("latin-1").translate(spelled).split(line_end) if letters else []
+        found = [[x.id for x in tokenize(w)] for w in spelling]
+        odd, odd_size = encode_odd(list(compress(chunks, ~plain)))
+        size = np.zeros(len(chunks), np.int64)
+        size[plain], size[~plain] = np.fromiter(map(len, found), np.int64, len(found)), odd_size
+        flat = np.zeros(int(size.sum()), np.int32)
+        of = np.repeat(plain, size)
+        flat[of] = np.fromiter(chain.from_iterable(found), np.int32, int(of.sum()))
+        flat[~of] = odd
+        return flat, size
+
+    def encode_odd(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         apart = [x[:1] != " " or x[1:2] in ALONE or x[-1] in WHITE for x in chunks]
         one = [x for x, a in zip(chunks, apart, strict=True) if not a]
         size = np.zeros(len(chunks), np.int64)

@@ -284,6 +284,59 @@ def test_a_chunk_is_looked_up_once_a_batch():
         assert cache.spaced.asked - before <= len({w for t in texts for w in (t or "").split(" ")})
 
 
+def test_words_are_kept_and_not_their_forms():
+    asked = []
+
+    def encode(strings):
+        asked.extend(strings)
+        raw = [x.encode() for x in strings]
+        return np.frombuffer(b"".join(raw), np.uint8).astype(np.int32), np.array([len(x) for x in raw], np.int64)
+
+    cache = chunks.ChunkCache(encode, public_tokenizers.PATTERN)
+    words, signs = ["ab", "cd", "é"], [".", ",", ".)", "###"]
+    forms = [w + s for w in words for s in signs]
+    texts = ["start " + " ".join(a + "\n" + b for a in forms for b in forms), "start " + " ".join(forms), "start ab\n\ncd ab\n\u3000cd ab.\n"]
+    for _ in range(2):
+        flat, per = cache.batch(texts)
+        assert bytes(flat.tolist()).decode() == "".join(texts)
+        assert per.tolist() == [len(t.encode()) for t in texts]
+    # words with a space before them and without, signs, a line's end, the first word; and the three that are not taken apart
+    assert len(asked) == len(set(asked)) == cache.n <= 2 * len(words) + len(signs) + 2 + 3
+
+
+def test_letters_like_the_library():
+    from tokenizers import Tokenizer
+
+    from quillspark.llm import simple8b
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    letters = [chr(k) for k in range(0x300) if chr(k).isalpha()]
+    texts = ["a " + " ".join("x" * (k % 3) + c + "yz"[: k % 2] for k, c in enumerate(letters)), "\n".join(letters), "don't we're, it's.\nI'll \u01f0\u0237 \u0920"]
+    flat, per = simple8b._encoder(path, public_tokenizers.PATTERN)(texts)
+    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert per.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+
+
+def test_runs_are_packed_like_a_plain_walk():
+    from quillspark.llm import simple8b
+
+    r = np.random.default_rng(4)
+    for k in range(40):
+        ids = r.integers(0, [1, 2, 9, 300, 60_000, 1 << 50][k % 6], int(r.integers(1, 700))).astype(np.uint64)
+        ids[r.random(len(ids)) < k % 3 * 0.45] = 0
+        _, size = simple8b._blocks(np.array([len(ids)]))
+        words, per = simple8b.pack(ids, size)
+        want = []
+        for lo in range(0, len(ids), simple8b.BLOCK):
+            block, at = ids[lo : lo + simple8b.BLOCK].tolist(), 0
+            while at < len(block):
+                s = next(s for s in range(16) if all(x >> int(simple8b.BITS[s]) == 0 for x in block[at : at + int(simple8b.COUNT[s])]))
+                want.append(s)
+                at += int(simple8b.COUNT[s])
+        assert (words >> np.uint64(60)).tolist() == want and len(words) == per.sum()
+        assert (simple8b.unpack(words, per, size) == ids).all()
+
+
 def test_white_space_at_the_ends_of_chunks():
     odd = ["", "a", "\u3000", "\ta", "a\x85", "\u2003ab\n", "🙂", "\u3001", "", "é\xa0"]
     opens, closes = chunks._white_ends(odd)
