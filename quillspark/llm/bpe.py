@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkCache, pattern
-from .common import pick, small_batches
+from .common import KEPT, given_back, pick, small_batches
 
 NONE = np.int64(1 << 62)
 #: Chunks of texts whose ids a worker keeps.
@@ -257,6 +257,9 @@ def _cache(path: str, pat: str) -> ChunkCache:
     return ChunkCache(encode, pat, MOST)
 
 
+KEPT.extend([_model, _cache])
+
+
 def encode(docs: DataFrame, ranks_path: str, pat: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array<int>) of each row's whole text, as the ranks' tokenizer has them, no special tokens."""
     small_batches(docs.sparkSession)
@@ -269,7 +272,7 @@ def encode(docs: DataFrame, ranks_path: str, pat: str, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int32()))], ["doc_id", "ids"])
 
     d = pick(docs, doc_id=id_col, text=text_col)
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return d.mapInArrow(given_back(run, _cache, _model), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -290,7 +293,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
                 out = pa.compute.if_else(ids.is_valid(), out, None)
             yield pa.RecordBatch.from_arrays([*b.columns, out], [*b.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, f"{fields}, decoded binary")
+    return encoded.mapInArrow(given_back(run, _cache, _model), f"{fields}, decoded binary")
 
 
 def digest(decoded: DataFrame) -> DataFrame:

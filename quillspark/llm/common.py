@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +59,33 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+#: What operators keep in a worker from one task to the next: functions under lru_cache.
+KEPT: list = []
+
+
+def given_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *keeps) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, such that a worker holds no more than it uses.
+
+    Workers outlive their tasks, and serve other operators' or wait beside a JVM that needs the memory. So what other
+    operators kept goes before the first batch (all of KEPT but keeps), and free memory goes back to the system after the last.
+    """
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in KEPT:
+            if f not in keeps:
+                f.cache_clear()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError, TypeError):
+                pass  # not the C library that has it
+
+    return bounded
+
+
 def text_or_empty(col) -> F.Column:
     return F.coalesce(col, F.lit(""))
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, saved, small_batches
+from .common import given_back, pick, saved, small_batches
 from .graph import components
 
 M, R, HUBS, ODD, BEFORE = 24, 4, 2, 512, 4
@@ -123,7 +123,7 @@ def nodes(docs: DataFrame, width: int) -> DataFrame:
                 ["doc_id", "n", "node", "halves", "odd"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node binary, halves array<long>, odd array<long>")
+    return docs.mapInArrow(given_back(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node binary, halves array<long>, odd array<long>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -136,7 +136,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
             flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["node", "items"])
 
-    return docs.mapInArrow(run, "node binary, items array<long>")
+    return docs.mapInArrow(given_back(run), "node binary, items array<long>")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, small_batches
+from .common import given_back, pick, small_batches
 
 SIGNS = string.punctuation
 _z = None
@@ -99,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, most_labelled: int = 1
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t).tolist() for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["y", "f"])
 
-    rows = got.mapInArrow(run, "y int, f array<double>").collect()
+    rows = got.mapInArrow(given_back(run), "y int, f array<double>").collect()
     rows.sort(key=lambda r: (r.y, r.f))
     return fit(np.array([r.f for r in rows]), np.array([r.y for r in rows]))
 
@@ -115,7 +115,7 @@ def score(docs: DataFrame, model: BradleyTerry, id_col: str = "doc_id", text_col
             s = model.score(np.array(x)) if x and model.weight.any() else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, score double")
+    return d.mapInArrow(given_back(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def keep(docs: DataFrame, model: BradleyTerry, text_col: str = "text") -> DataFrame:
@@ -130,4 +130,4 @@ def keep(docs: DataFrame, model: BradleyTerry, text_col: str = "text") -> DataFr
             x = [features(t) for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(model.score(np.array(x)) >= 0.5)) if x else b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(given_back(run), docs.schema)

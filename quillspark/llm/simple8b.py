@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import WHITE, ChunkCache
-from .common import pick, shared_dir, small_batches
+from .common import KEPT, given_back, pick, shared_dir, small_batches
 
 BLOCK, SEGMENT, MAGIC = 256, 16_384, 0x42385351
 FILE = "part int, seq long, before long, n_docs long, n_ids long, payload binary"
@@ -257,6 +257,9 @@ def _encoder(path: str, pat: str):
     return texts
 
 
+KEPT.append(_encoder)
+
+
 def write_ids(docs: DataFrame, tokenizer_path: str, pat: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> str:
     """Encodes whole texts, appends end_id to each, and writes the files; returns their path.
 
@@ -289,7 +292,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, pat: str, end_id: int, id_co
             )
             seq, before = seq + m, int(upto[-1])
 
-    d.mapInArrow(run, FILE).write.parquet(path)
+    d.mapInArrow(given_back(run, _encoder), FILE).write.parquet(path)
     return path
 
 

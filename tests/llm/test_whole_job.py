@@ -337,6 +337,32 @@ def test_runs_are_packed_like_a_plain_walk():
         assert (simple8b.unpack(words, per, size) == ids).all()
 
 
+def test_a_worker_drops_what_other_operators_kept(spark):
+    import pyarrow as pa
+
+    from quillspark.llm import bpe, common
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+    class Docs:
+        """Gives what would run in a worker."""
+
+        sparkSession, schema, columns = spark, spark.createDataFrame([], "doc_id long, text string").schema, ["doc_id", "text"]
+
+        def mapInArrow(self, run, _):
+            return run
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["one two three four five six"])], ["doc_id", "text"])
+    bpe._cache(path, public_tokenizers.PATTERN).batch(["a word"])
+    kept = bpe._cache(path, public_tokenizers.PATTERN)
+    list(common.given_back(iter, bpe._cache, bpe._model)([batch]))
+    assert bpe._cache(path, public_tokenizers.PATTERN) is kept
+    for run in (minhash.nodes(Docs(), 5), minhash.full_sets(Docs(), 5)):
+        bpe._cache(path, public_tokenizers.PATTERN)
+        assert [b.num_rows for b in run(iter([batch]))] == [1]
+        assert bpe._cache.cache_info().currsize == bpe._model.cache_info().currsize == 0
+
+
 def test_white_space_at_the_ends_of_chunks():
     odd = ["", "a", "\u3000", "\ta", "a\x85", "\u2003ab\n", "🙂", "\u3001", "", "é\xa0"]
     opens, closes = chunks._white_ends(odd)
