@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions import text as T
 from ..operators import corpus, edits, extract, metrics, mining, relations, spans
+from ..operators.matches import matches, units_of
 from ..session import table
 from ..streaming import rates
 
@@ -178,7 +179,8 @@ def seam_attested(spark, d):
 @query
 def dms_curve(spark, d):
     """Matching statistics of class b in class a, capped at CAP."""
-    return mining.matching_stats(_side(spark, d, "b"), _side(spark, d, "a"), CAP)
+    rows = relations.sided(_docs(spark, d), table(spark, d, "labels"), {"b": 0, "a": 1})
+    return matches(rows, 1, CAP, units_of(_docs(spark, d))).withColumnRenamed("m1", "m")
 
 
 @query
