@@ -79,7 +79,7 @@ def tokenizer_sizes(spark, d):
 @query
 def text_digest(spark, d):
     t = F.coalesce(F.col("text"), F.lit(""))
-    return _docs(spark, d).select("doc_id", F.sha2(t, 256).alias("sha256"), F.sha2(T.compound(t), 256).alias("compound_sha256"), F.sha2(T.capitalise(F.lower(t)), 256).alias("capitalised_sha256"), T.ends_terminal(t).alias("ends_terminal"))
+    return _docs(spark, d).select("doc_id", F.sha2(t, 256).alias("sha256"), F.sha2(T.compound(t), 256).alias("compound_sha256"), F.sha2(T.capitalise(T.plain_lower(t)), 256).alias("capitalised_sha256"), T.ends_terminal(t).alias("ends_terminal"))
 
 
 @query
