@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from ..functions import text as T
 
 
 #: Matches whose positions are summed at a time, so that a text with many costs no more than in proportion.
 CHUNK = 256
+#: Texts of a batch that are handed on at a time.
+SCAN = 256
+FOUND = T_.StructType([T_.StructField("start", T_.IntegerType()), T_.StructField("end", T_.IntegerType()), T_.StructField("v", T_.StringType())])
 
 
 def located(d: DataFrame, text_col: str, pattern: str | Column) -> DataFrame:
@@ -48,12 +55,33 @@ def literal_spans(docs: DataFrame, phrases: list[str], channel: str = "literal",
 
     keep: columns of docs that go with each span, so that none is joined back.
     """
-    longest = sorted(phrases, key=lambda p: (-len(p), p))
-    alt = "|".join("".join("\\" + c if not c.isalnum() and c != " " else c for c in p) for p in longest)
-    d = located(docs.select("doc_id", *keep, T.ascii_lower(F.coalesce(F.col("text"), F.lit(""))).alias("t")), "t", alt)
-    letter = r"^[\p{L}']$"
-    bounded = F.filter("found", lambda x: ~x["before"].rlike(letter) & ~x["after"].rlike(letter))
-    return d.select("doc_id", *keep, F.explode(bounded).alias("s")).select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.lit(channel).alias("channel"), F.col("s.v").alias("frame_id"), *keep)
+    pattern = "|".join(re.escape(p) for p in sorted(phrases, key=lambda p: (-len(p), p)))
+    schema = T_.StructType([docs.schema["doc_id"], *[docs.schema[c] for c in keep], T_.StructField("s", T_.ArrayType(FOUND))])
+    regex, lower = re.compile(pattern), bytes.maketrans(T.UPPER.encode(), T.LOWER.encode())
+
+    def found(texts) -> pa.Array:
+        upto, start, end, v = [0], [], [], []
+        for x in texts:
+            t = (x.as_py() or b"").translate(lower).decode(errors="surrogateescape")
+            for m in regex.finditer(t):
+                i, j = m.span()
+                # letters of a word are \p{L} and the apostrophe
+                if not (i and (t[i - 1].isalpha() or t[i - 1] == "'")) and not (j < len(t) and (t[j].isalpha() or t[j] == "'")):
+                    start.append(i)
+                    end.append(j)
+                    v.append(m[0])
+            upto.append(len(start))
+        spans = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(v, pa.string())], ["start", "end", "v"])
+        return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), spans)
+
+    def scan(batches):
+        for b in batches:
+            for k in range(0, len(b), SCAN):
+                part = b.slice(k, SCAN)
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", *keep)] + [found(part.column("_t"))], ["doc_id", *keep, "s"])
+
+    d = docs.select("doc_id", *keep, F.col("text").cast("binary").alias("_t")).mapInArrow(scan, schema)
+    return d.select("doc_id", *keep, F.explode("s").alias("s")).select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.lit(channel).alias("channel"), F.col("s.v").alias("frame_id"), *keep)
 
 
 def regex_spans(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -101,10 +129,31 @@ def resolve(patches: DataFrame) -> DataFrame:
 
 
 def apply_patches(docs: DataFrame, resolved: DataFrame) -> DataFrame:
-    """doc_id, fixed: texts with their resolved patches applied from right to left."""
+    """doc_id, fixed: texts with their resolved patches applied, each text cut once at all of them."""
     j = docs.join(resolved, "doc_id", "left")
-    step = lambda t, p: F.concat(t.substr(F.lit(1), p["start"]), p["replacement"], t.substr(p["end"] + 1, F.length(t)))
-    return j.select("doc_id", F.when(F.col("patches").isNull(), F.col("text")).otherwise(F.aggregate(F.reverse("patches"), F.col("text"), step)).alias("fixed"))
+    at = lambda f: F.transform("patches", lambda p: p[f]).alias(f)
+    schema = T_.StructType([docs.schema["doc_id"], T_.StructField("fixed", T_.BinaryType())])
+
+    def one(text, start, end, new):
+        if text is None or start is None:
+            return text
+        text, out, upto = text.decode(errors="surrogateescape"), [], 0
+        for i, j, x in zip(start, end, new, strict=True):
+            if x is None:
+                return None
+            out += (text[upto:i], x)
+            upto = j
+        return "".join([*out, text[upto:]]).encode(errors="surrogateescape")
+
+    def cut(batches):
+        for b in batches:
+            for k in range(0, len(b), SCAN):
+                part = b.slice(k, SCAN)
+                rows = zip(*(part.column(c).to_pylist() for c in ("text", "start", "end", "replacement")), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([one(*r) for r in rows], pa.binary())], ["doc_id", "fixed"])
+
+    j = j.select("doc_id", F.col("text").cast("binary").alias("text"), at("start"), at("end"), at("replacement")).mapInArrow(cut, schema)
+    return j.select("doc_id", F.col("fixed").cast("string").alias("fixed"))
 
 
 def line_column(text: Column, offset: Column) -> tuple[Column, Column]:
