@@ -69,9 +69,11 @@ def overuse(docs: DataFrame, envelope: DataFrame, least: int = 4, least_tokens:
 
 def seams(docs: DataFrame) -> DataFrame:
     """left, right, n: adjacent tokens of a sentence, the first after <s>."""
-    s = docs.select(F.explode(T.sentences(F.coalesce("text", F.lit("")))).alias("s")).select(F.concat(F.array(F.lit("<s>")), T.clean_tokens(F.col("s"))).alias("t"))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("t") - 2), lambda i: F.struct(F.get("t", i).alias("left"), F.get("t", i + 1).alias("right")))
-    return s.where(F.size("t") > 1).select(F.explode(pairs).alias("p")).select("p.left", "p.right").groupBy("left", "right").agg(F.count("*").alias("n"))
+    s = docs.select(F.explode(T.sentences(F.coalesce("text", F.lit("")))).alias("s"))
+    # a filter on the tokens would make them twice: a sentence without tokens has no pairs
+    s = s.select(T.clean_tokens(F.col("s")).alias("t"))
+    pairs = F.transform("t", lambda x, i: F.struct(F.when(i == 0, F.lit("<s>")).otherwise(F.get(F.col("t"), i - 1)).alias("left"), x.alias("right")))
+    return s.select(F.explode(pairs).alias("p")).select("p.left", "p.right").groupBy("left", "right").agg(F.count("*").alias("n"))
 
 
 def midrank_auc(values: DataFrame) -> DataFrame:
