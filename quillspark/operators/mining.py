@@ -44,9 +44,11 @@ def top_both(table: DataFrame, k: int) -> DataFrame:
 def ratio_top(docs: DataFrame, order: int, unigrams: DataFrame, least: int, k: int) -> DataFrame:
     """n-grams by smoothed ratio b over a, whose words all have `least` occurrences in unigrams (ngram, a, b)."""
     c = with_totals(ngram_counts(docs, order)).select("ngram", "a", "b", F.round(smoothed_ratio(F.col("b"), F.col("tb"), F.col("a"), F.col("ta")), 6).alias("ratio")).where("b >= 2")
-    freq = unigrams.select(F.col("ngram").alias("w"), (F.col("a") + F.col("b")).alias("f"))
-    ok = c.select("ngram", F.explode(F.array_distinct(F.split("ngram", " "))).alias("w")).join(freq, "w", "left").groupBy("ngram").agg(F.min(F.coalesce("f", F.lit(0))).alias("f")).where(F.col("f") >= least)
-    return c.join(ok, "ngram").orderBy(F.desc("ratio"), "ngram").limit(k).select("ngram", "a", "b", "ratio")
+    if least > 0:
+        often = unigrams.where(F.col("a") + F.col("b") >= least).select(F.col("ngram").alias("w"))
+        for i in range(order):
+            c = c.join(often, F.split_part("ngram", F.lit(" "), F.lit(i + 1)) == F.col("w"), "left_semi")
+    return c.orderBy(F.desc("ratio"), "ngram").limit(k).select("ngram", "a", "b", "ratio")
 
 
 def burst_envelope(docs: DataFrame, least_tokens: int = 120, floor: int = 5) -> DataFrame:
